@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, pii, sharding, urls
+from . import langid, mixing, neardup, packing, pii, quality, sharding, toxicity, urls
 from .common import table
 
 
+def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = packing.pack(table(spark, sf_dir, "documents"))
+    return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op2_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_curve(table(spark, sf_dir, "documents"), 16)
 
@@ -25,6 +34,14 @@ def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = pii.detect(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.expr(pii.rendered("spans")), 256).alias("base_sha256"), F.expr(pii.rendered("concat(spans, terms)")).alias("spans"))

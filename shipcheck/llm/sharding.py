@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import global_rank, text_or_empty
 from .hilbert import hilbert_index
@@ -13,7 +14,7 @@ from .hilbert import hilbert_index
 BITS = 8
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _curve(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series(hilbert_index(np.stack([a, b, c, d], axis=1), BITS))
 
