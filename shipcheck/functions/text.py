@@ -59,13 +59,14 @@ def _unaccented(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else "".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c)).casefold())
 
 
-def _ascii_or(c: Column, plain: Column, other: Column) -> Column:
-    """`plain` for ASCII values, which stay in the JVM; `other` for the rest."""
-    return F.when(~c.rlike(r"[^\x00-\x7F]"), plain).when(c.isNotNull(), other)
+def _ascii_or(c: Column, plain: Column, worker) -> Column:
+    """`plain` for ASCII values, which stay in the JVM; worker(value) for the rest (it sees nulls for the others)."""
+    other = c.rlike(r"[^\x00-\x7F]")
+    return F.when(~other, plain).when(other, worker(F.when(other, c)))
 
 
 def is_placeholder(c: Column, unicode: bool = True) -> Column:
-    t = strip(_ascii_or(c, c, _compatible(c)) if unicode else c)
+    t = strip(_ascii_or(c, c, _compatible) if unicode else c)
     return c.isNull() | (t == "") | t.rlike(vocab.PLACEHOLDER)
 
 
@@ -77,7 +78,7 @@ def normalize_text(c: Column, unicode: bool = True) -> Column:
     """Case, accents, punctuation and legal forms made alike; placeholders are null.
 
     unicode=False is the form without Python, for values known to be ASCII."""
-    folded = _ascii_or(c, F.lower(c), _unaccented(c)) if unicode else F.lower(c)
+    folded = _ascii_or(c, F.lower(c), _unaccented) if unicode else F.lower(c)
     words = F.split(F.trim(F.regexp_replace(F.replace(folded, F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}]+", " ")), " ")
     legal = F.transform(words, lambda w: F.coalesce(F.try_element_at(_map(vocab.LEGAL_WORDS), w), w))
     return F.when(~is_placeholder(c, unicode), F.nullif(F.array_join(legal, " "), F.lit("")))
