@@ -19,8 +19,15 @@ from .hilbert import hilbert_index
 #: Production parameters: tokens of a sequence, id put after each document, projected dimensions and bits of each.
 LENGTH, END, DIMS, BITS = 2048, 1, 4, 12
 #: Most words whose ids a worker keeps, and the longest such word.
-_CACHE, _LONGEST = 300_000, 64
-_LOOSE = re.compile(r"\s | \s|\s\Z")
+_CACHE, _LONGEST = 200_000, 64
+_RARE, _LOOSE, _MARKS = re.compile(r"[^\S \n]"), re.compile(r"\s | \s|\s\Z"), frozenset(".,;:!?")
+
+
+def loose(text: str) -> bool:
+    """Whether white space stands next to a space or at the end."""
+    if _RARE.search(text):
+        return bool(_LOOSE.search(text))
+    return "  " in text or " \n" in text or "\n " in text or text[-1:] in (" ", "\n")
 
 
 def _tokenizer():
@@ -35,6 +42,18 @@ def _tokenizer():
     return t
 
 
+def _words_encoding():
+    """The same vocabulary as ranks, for runs of plain words: several times faster there."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
     """Ids of whole texts, equal to the tokenizer's own.
 
@@ -45,58 +64,64 @@ class Encoder:
     white space goes through the tokenizer as it is."""
 
     def __init__(self, tokenizer):
-        self._t, self._known = tokenizer, {}
-        self._heads = {i for word, i in tokenizer.get_vocab().items() if word[0] == "\u0120"}  # ids that begin with a space
+        self._t, self._known, self._words = tokenizer, _Known(), _words_encoding()
+        self._heads = np.zeros(1 << 16, bool)  # ids that begin with a space
+        self._heads[[i for word, i in tokenizer.get_vocab().items() if word[0] == "\u0120"]] = True
 
     def _encoded(self, text: str) -> np.ndarray:
-        return np.array(self._t.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self._t.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of ` word` for each word (none holds a space): every word begins at an id that begins with a space."""
         if not words:
             return {}
-        ids = self._encoded(" " + " ".join(words))
-        starts = [i for i, x in enumerate(ids.tolist()) if x in self._heads]
-        assert len(starts) == len(words)
-        data, ends = ids.tobytes(), [*starts[1:], len(ids)]
-        return {w: data[4 * a : 4 * b] for w, a, b in zip(words, starts, ends, strict=True)}
+        ids = np.array(self._words.encode_ordinary(" " + " ".join(words)), np.uint32)
+        cuts = [*(4 * np.flatnonzero(self._heads[ids])).tolist(), 4 * len(ids)]
+        assert len(cuts) == len(words) + 1
+        data = ids.tobytes()
+        return {w: data[a:b] for w, a, b in zip(words, cuts, cuts[1:], strict=False)}
 
     def block(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split: list[list[str] | None] = []
         for text in texts:
             words = text.split(" ")
-            split.append(words if all(words) and not _LOOSE.search(text) else None)
-        known, new = self._known, {}
+            split.append(words if words[0] and not loose(text) else None)
+        known, seen = self._known, set()
         for words in split:
-            for w in words[1:] if words else ():
-                if w not in known:
-                    new[w] = None
-        core = {w: (w[:-1], w[-1]) if w[-1] in ".,;:!?" and w[:-1].isalpha() else (w, "") for w in new}
-        heads = self._learn(list({c: None for c, _ in core.values() if c not in known}))
-        tails = {m: self._encoded(m).tobytes() for m in {m for _, m in core.values() if m}}
-        for w, (c, m) in core.items():
-            new[w] = (heads.get(c) or known[c]) + (tails[m] if m else b"")
-        for w, ids in (heads | new).items():
-            if len(known) < _CACHE and len(w) <= _LONGEST:
-                known[w] = ids
-        firsts = {w: self._encoded(w).tobytes() for w in {words[0] for words in split if words}}
-        out = []
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(self._encoded(text).tobytes())
-            else:
-                out.append(firsts[words[0]] + b"".join([known[w] if w in known else new[w] for w in words[1:]]))
-        return out
+            if words:
+                seen.update(words[1:])
+        new = seen.difference(known)
+        marked = [w for w in new if w[-1] in _MARKS and w[:-1].isalpha()]
+        cores = [w[:-1] for w in marked]
+        plain = new.difference(marked).union(cores).difference(known)
+        more = self._learn(list(plain))
+        tails = {m: self._encoded(m).tobytes() for m in _MARKS}
+        more.update({w: (more[c] if c in more else known[c]) + tails[w[-1]] for w, c in zip(marked, cores, strict=True)})
+        if len(known) < _CACHE:
+            known.update({w: ids for w, ids in more.items() if len(w) <= _LONGEST})
+        known.more = more
+        firsts = {w: np.array(self._words.encode_ordinary(w), np.uint32).tobytes() for w in {words[0] for words in split if words}}
+        get = known.__getitem__
+        return [self._encoded(text).tobytes() if words is None else firsts[words[0]] + b"".join(map(get, words[1:])) for text, words in zip(texts, split, strict=True)]
+
+
+class _Known(dict):
+    """Ids of words kept for good; of a block's other words in `more`."""
+
+    more: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.more[word]
 
 
 def _signs(vocabulary: int = 1 << 16, dims: int = DIMS) -> np.ndarray:
-    """Hashed +1 / -1 of each id in each dimension."""
+    """(dims, vocabulary): hashed +1 / -1 of each id."""
     x = np.arange(vocabulary * dims, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(32)
-    return ((x & np.uint64(1)).astype(np.float32) * 2 - 1).reshape(vocabulary, dims)
+    return np.ascontiguousarray(((x & np.uint64(1)).astype(np.int32) * 2 - 1).reshape(vocabulary, dims).T)
 
 
 def curve_keys(counts: np.ndarray, sums: np.ndarray) -> np.ndarray:
@@ -113,12 +138,13 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encoder, signs = Encoder(_tokenizer()), _signs()
     end = np.array([END], np.uint32).tobytes()
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
             rows = [ids + end for ids in encoder.block(part.column("text").to_pylist())]
             counts = np.array([len(r) // 4 for r in rows], np.int64)
             every = np.frombuffer(b"".join(rows), np.uint32)
-            sums = np.add.reduceat(signs[every], np.concatenate([[0], counts.cumsum()[:-1]]), axis=0, dtype=np.float64)
+            starts = np.concatenate([[0], counts.cumsum()[:-1]])
+            sums = np.stack([np.add.reduceat(column[every], starts) for column in signs], axis=1)  # small whole numbers: exact
             small = [np.frombuffer(r, np.uint32).astype(np.uint16).tobytes() for r in rows]  # the vocabulary has under 2 ** 16 ids
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(small, pa.binary()), pa.array(curve_keys(counts, sums))], schema=_TOKENS)
 
