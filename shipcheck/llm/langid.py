@@ -180,10 +180,12 @@ def identify(docs: DataFrame, keep: list[str] | None = None, net: ByteNet | None
 
 
 def keep_known(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """docs without the rows whose language is `und` or less sure than `least`: a filter in the texts' own tasks."""
+    """docs without the rows whose language is `und` or less sure than `least`: a filter in the texts' own tasks.
+
+    If nothing could be learnt, texts with a letter stay."""
     net = fit(docs)
     if net is None:
-        return docs.limit(0)
+        return docs.where(F.col("text").rlike(r"\p{L}"))
 
     @F.pandas_udf("boolean")
     def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

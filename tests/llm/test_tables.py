@@ -200,3 +200,18 @@ def test_pipeline(spark):
     assert counts[0] >= 195 and counts[1] < counts[0] and counts[1] == counts[2] == counts[3]
     pieces = corpus_pipeline.STAGES[-1][1](spark, d, "/root/testdata/sf0.001")
     assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == {r[0] for r in d.select("doc_id").collect()}
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from shipcheck.llm import langid, pii
+
+    extra = ["component_id", "kept", "rep", "key", "class", "score", "lang_pred", "slot", "offset", "spans", "terms", "n", "c", "w", "a", "b", "label", "node"]
+    rows = [(i, f"text number {i} mail{i}@x.org the quick", "en", "s", 1, *extra) for i in range(30)] + [(5, None, None, None, None, *extra)]
+    d = spark.createDataFrame(rows, DOCS + "".join(f", {c} string" for c in extra))
+    for stage, n in ((langid.keep_known, 30), (neardup.keep_one, 31), (pii.sanitise, 31), (mixing.in_order, 31)):
+        got = stage(d)
+        assert got.columns == d.columns and got.count() == n
+        assert {tuple(r[c] for c in extra) for r in got.select(*extra).collect()} == {tuple(extra)}
+    empty = d.where("false")
+    for stage in (langid.keep_known, neardup.keep_one, pii.sanitise, mixing.in_order):
+        assert stage(empty).count() == 0
