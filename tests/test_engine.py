@@ -174,3 +174,46 @@ def test_bad_inboxes(spark, tmp_path):
     (tmp_path / "a" / "inbox" / "x.json").write_text('[{"id": "1"}, {"id": "1"}]')
     with pytest.raises(ValueError, match="one id each"):
         bundle.read_bundle(spark, str(tmp_path / "a"))
+
+
+def test_http_and_audit(spark, folder, tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from shipcheck.sources import audit, http
+
+    got = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def _reply(self, data):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(data)
+
+        def do_GET(self):
+            if self.path == "/inbox":
+                mails = [{"id": "h1", "subject": "Please compare SI and BL", "attachments": ["attachments/si.txt", {"filename": "bl.txt", "content": BL}]}, {"id": "h2", "subject": "Please compare SI and BL", "attachments": ["attachments/gone.txt"]}]
+                return self._reply(json.dumps({"emails": mails}).encode())
+            file = folder / self.path.lstrip("/")
+            return self._reply(file.read_bytes()) if file.exists() else self.send_error(404)
+
+        def do_POST(self):
+            got.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self._reply(b'{"ok": true}')
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    emails, files = http.read_inbox(spark, base + "/inbox")
+    decisions = decide.decide(emails, files)
+    assert {r["email_id"]: (r["status"], r["review_reason"]) for r in decisions.collect()} == {"h1": ("OK", None), "h2": ("NEEDS_REVIEW", "unreadable")}
+    assert http.submit({"a": "é"}, base) == {"ok": True} and got == [{"a": "é"}]
+    none = spark.createDataFrame([], "email_id string, field string, field_ord int, si_value string, bl_value string, status string")
+    out = audit.write_audit(decisions, emails, none, str(tmp_path / "r" / "audit.html"), problems_only=True)
+    assert out.included_ids == ["h2"] and "NEEDS_REVIEW" in (tmp_path / "r" / "audit.html").read_text()
+    with pytest.raises(ValueError, match="without a decision"):
+        audit.write_audit(decisions.where("email_id = 'h1'"), emails, none, str(tmp_path / "x.html"))
+    server.shutdown()
