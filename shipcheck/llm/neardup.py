@@ -112,19 +112,44 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(rows, pa.binary())], names=["rep", "set"])
 
 
+#: Bits of a symmetric-difference sketch, in longs.
+SKETCH = 16
+
+
+def sketch(one: np.ndarray, other: np.ndarray) -> tuple[int, np.ndarray, int]:
+    """Of two sorted sets: the size of the intersection, a bit map of the symmetric difference (one bit an element), and
+    how many of its elements share a bit with another.  Two sets with the same `one` have at most
+    popcount(map & map) + min(shared bits) differences in common, which bounds their own intersection from above."""
+    if not len(one) or not len(other):
+        only = np.concatenate([one, other])
+        shared = 0
+    else:
+        at = np.minimum(np.searchsorted(one, other), len(one) - 1)
+        same = one[at] == other
+        rest = np.ones(len(one), bool)
+        rest[at[same]] = False
+        only, shared = np.concatenate([one[rest], other[~same]]), int(same.sum())
+    flags = np.zeros(SKETCH * 64, np.uint8)
+    flags[(only & np.uint64(SKETCH * 64 - 1)).astype(np.int64)] = 1
+    return shared, np.packbits(flags).view(np.int64), len(only) - int(flags.sum())
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exact intersections.  Rows come sorted by their first side, whose set is decoded once a run."""
     last, one = None, np.empty(0, np.uint64)
     for batch in batches:
-        shared = []
+        shared, bits, extra = [], [], []
         for a, x, y in zip(batch.column("a"), batch.column("set_a"), batch.column("set_b"), strict=True):
             if a.as_py() != last:
                 last, one = a.as_py(), np.frombuffer(x.as_py(), np.uint64)
-            other = np.frombuffer(y.as_py(), np.uint64)
-            i = np.searchsorted(one, other)
-            shared.append(int((one[np.minimum(i, len(one) - 1)] == other).sum()) if len(one) else 0)
+            n, b, e = sketch(one, np.frombuffer(y.as_py(), np.uint64))
+            shared.append(n)
+            bits.append(b)
+            extra.append(e)
         s, na, nb = np.array(shared, np.int64), batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(s), pa.array(na + nb - s)], names=["a", "b", "shared", "joint"])
+        flat = pa.array(np.concatenate(bits) if bits else np.empty(0, np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * SKETCH), flat)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(s), pa.array(na + nb - s), batch.column("na"), lists, pa.array(extra, pa.int32())], names=["a", "b", "shared", "joint", "na", "bits", "extra"])
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -151,7 +176,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def compared(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """a, b, shared, joint: exact sizes of intersection and union for each pair of document ids.
+    """a, b, shared, joint, na, bits, extra: exact sizes of intersection, union and first set for each
+    pair of document ids, and the sketch of their difference.
 
     Only documents of some pair have their sets made.  Texts move once, sets once for each pair."""
     pairs = materialise(pairs, name)
@@ -159,8 +185,8 @@ def compared(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, "rep", "left_semi").dropDuplicates(["rep"])
     sets = materialise(slim.mapInArrow(_sets, "rep long, set binary"), name + "sets")
     sized = lambda x: sets.select(F.col("rep").alias(x), F.col("set").alias(f"set_{x}"), F.expr("octet_length(set) div 8").cast("long").alias(f"n{x}"))
-    full = pairs.join(sized("b"), "b").join(sized("a"), "a").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
-    out = full.sortWithinPartitions("a").select("a", "b", "na", "nb", "set_a", "set_b").mapInArrow(_compare, "a long, b long, shared long, joint long")
+    full = pairs.join(sized("b"), "b").join(sized("a"), "a")
+    out = full.sortWithinPartitions("a").select("a", "b", "na", "nb", "set_a", "set_b").mapInArrow(_compare, "a long, b long, shared long, joint long, na long, bits array<long>, extra int")
     return materialise(out, name + "done")
 
 
@@ -169,11 +195,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     1. Rows with the same shingle set form a class; only its least id goes on, so that copies cost
        nothing further.  2. Representatives that share a band bucket are joined to the bucket's
-       least id: a star, one candidate a row.  The least id is the same in most buckets of a group,
-       so a group of n gives about n pairs, confirmed on full sets.  3. The rest, exactly: where a
+       centre: a star, one candidate a row.  Centres are the same in most buckets of a group, so a
+       group of n gives about n pairs, confirmed on full sets.  3. The rest, exactly: where a
        bucket still holds several components, pairs across them that the stars did not compare are
-       compared too, unless the distances to the star's centre exclude a link (Jaccard distance is
-       a metric).  No cap anywhere.
+       compared too, unless their differences from the centre exclude a link: the join itself
+       bounds their intersection from above by sketches of these.  No cap anywhere.
 
     Null or wordless texts: empty set, linked with nothing.  Rows without an id link with nothing.
     Repeated rows: one class.  Empty input: empty output."""
@@ -181,8 +207,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     reps = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     reps = materialise(reps, "reps")
     keyed = reps.where(F.col("rep").isNotNull()).select("rep", "n", F.explode("bands").alias("key"))
-    stars = keyed.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    members = materialise(keyed.join(stars, "key"), "members")  # rows of shared buckets only
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    members = materialise(keyed.join(shared, "key"), "members")  # rows of shared buckets only
+    # the centre of a bucket is the member with the most company over all its buckets: in a group of
+    # copies of one text, that text; so one centre serves a whole group
+    weight = members.groupBy("rep").agg(F.sum("c").alias("w"))
+    members = materialise(members.join(weight, "rep"), "weighed")
+    stars = members.groupBy("key").agg(F.max_by("rep", F.col("w") * 1.0e6 + F.pmod(F.xxhash64("rep"), F.lit(1000000))).alias("centre"))
+    members = materialise(members.drop("w", "c").join(stars, "key"), "starred")
     edges = members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     first = compared(docs, edges, "stars")
     linked = F.col("shared") * 100 >= F.col("joint") * percent
@@ -191,15 +223,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     # the rest: buckets with more than one component
     where = members.join(comps, members["rep"] == comps["node"], "left").select("key", "rep", "n", "centre", F.coalesce("component", "rep").alias("comp"))
-    far = first.select(F.col("a").alias("centre"), F.col("b").alias("rep"), (1 - F.col("shared") / F.col("joint")).alias("d"))
-    where = where.join(far, ["centre", "rep"], "left").withColumn("d", F.when(F.col("rep") == F.col("centre"), 0.0).otherwise(F.col("d")))
+    far = first.select(F.col("a").alias("centre"), F.col("b").alias("rep"), F.col("na").alias("size"), (F.col("na") - F.col("shared")).alias("gone"), "bits", "extra")
     several = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_ = materialise(where.join(several, "key", "left_semi").where("rep <> centre"), "open")
+    open_ = materialise(where.where("rep <> centre").join(several, "key", "left_semi").join(far, ["centre", "rep"]), "open")
     x, y = open_.alias("x"), open_.alias("y")
-    gap = (100 - percent) / 100 + 1e-9
+    common = " + ".join(f"bit_count(get(x.bits, {i}) & get(y.bits, {i}))" for i in range(SKETCH))
+    most = f"(x.size - x.gone - y.gone + {common} + least(x.extra, y.extra))"
+    may = f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent} and {most} * {100 + percent} >= (x.n + y.n) * {percent}"
     rest = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")))
-        .where((F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= gap, F.lit(True)))
+        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & F.expr(may))
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         .distinct()
     )
