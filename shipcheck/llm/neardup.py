@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import batch_rows, materialise
 
 #: Production parameters: words in a shingle, bins of a signature, bins in a band, similarity in hundredths.
 WORDS, BINS, ROWS, PERCENT = 5, 128, 4, 75
@@ -183,11 +183,13 @@ def compared(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     pairs = materialise(pairs, name)
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     slim = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, "rep", "left_semi").dropDuplicates(["rep"])
-    sets = materialise(slim.mapInArrow(_sets, "rep long, set binary"), name + "sets")
+    with batch_rows(docs.sparkSession, 1000):
+        sets = materialise(slim.mapInArrow(_sets, "rep long, set binary"), name + "sets")
     sized = lambda x: sets.select(F.col("rep").alias(x), F.col("set").alias(f"set_{x}"), F.expr("octet_length(set) div 8").cast("long").alias(f"n{x}"))
     full = pairs.join(sized("b"), "b").join(sized("a"), "a")
     out = full.sortWithinPartitions("a").select("a", "b", "na", "nb", "set_a", "set_b").mapInArrow(_compare, "a long, b long, shared long, joint long, na long, bits array<long>, extra int")
-    return materialise(out, name + "done")
+    with batch_rows(docs.sparkSession, 128):  # each row holds two whole sets
+        return materialise(out, name + "done")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
