@@ -179,10 +179,11 @@ def compared(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """a, b, shared, joint, na, bits, extra: exact sizes of intersection, union and first set for each
     pair of document ids, and the sketch of their difference.
 
-    Only documents of some pair have their sets made.  Texts move once, sets once for each pair."""
+    Only documents of some pair have their sets made.  Texts move once (the ids of these documents
+    grow with the input, so they are never broadcast), sets once for each pair."""
     pairs = materialise(pairs, name)
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    slim = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, "rep", "left_semi").dropDuplicates(["rep"])
+    slim = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids.hint("merge"), "rep", "left_semi").dropDuplicates(["rep"])
     with batch_rows(docs.sparkSession, 1000):
         sets = materialise(slim.mapInArrow(_sets, "rep long, set binary"), name + "sets")
     sized = lambda x: sets.select(F.col("rep").alias(x), F.col("set").alias(f"set_{x}"), F.expr("octet_length(set) div 8").cast("long").alias(f"n{x}"))
@@ -250,4 +251,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the rows that near_duplicates does not keep: one document of each group stays.
     Rows that share an id share its fate."""
     gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
