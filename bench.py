@@ -1,6 +1,7 @@
 """Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Each query runs once to warm up, then up to three times (median), its whole result consumed."""
+Each query runs once to warm up, then up to three times (median), its whole result consumed; when
+four minutes are over, the remaining queries run once, warm-up included."""
 
 from __future__ import annotations
 
@@ -14,7 +15,7 @@ from pyspark.sql import SparkSession
 
 from shipcheck.plans import catalogue
 
-QUERIES = ["i1_classify", "i3_assess", "i5_extract", "h19_normalize_fields", "d10_compare", "i7_decide", "e9_metrics", "f2_notable", "i10_violations", "h1_fold", "h3_hits", "h31_weight", "h32_containers", "c10_placeholder", "d3_id_differences"]
+QUERIES = ["h1_fold", "h3_hits", "h31_weight", "h32_containers", "d3_id_differences", "i1_classify", "i3_assess", "i5_extract", "d10_compare", "i7_decide"]
 
 
 def main() -> None:
@@ -24,11 +25,11 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus).config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    queries, took, deadline = catalogue.queries(), {}, time.time() + 600
+    queries, took, deadline = catalogue.queries(), {}, time.time() + 240
     for name in QUERIES:
         runs = []
         for turn in range(4):
-            if turn > 1 and time.time() > deadline:
+            if turn and time.time() > deadline:
                 break
             start = time.time()
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
