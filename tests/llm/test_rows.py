@@ -136,6 +136,21 @@ def test_disclosure(spark):
     assert pii.detect(docs(spark, [])).count() == 0
 
 
+def term_texts(d, **how):
+    """The disclosing terms of each document, as they stand."""
+    texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    return {r["doc_id"]: [texts[r["doc_id"]][s["s"] : s["e"]] for s in r["terms"]] for r in pii.detect(d, **how).collect()}
+
+
+def test_disclosure_counts_whole_texts_and_parts_of_entities(spark):
+    filler = [f"plain words number{i} of a text" for i in range(3000)]
+    far = [f"Zorbax {'plain words of a text ' * 5} then card 4111 1111-1111 1111 end", f"card 4111111111111111 {'plain words of a text ' * 5} zorbax end"]
+    local = [f"quimby has plain words of a text {i} plain words of a text ann.lee@mail{i}.org" for i in range(3)]
+    got = term_texts(docs(spark, [*filler, *far, *local, "once only bob@host.net hapax"]))
+    assert "Zorbax" in got[3000] and "zorbax" in got[3001] and all("quimby" in got[i] for i in (3002, 3003, 3004))
+    assert not any(got[i] for i in range(3000)) and not got[3005]  # one text is no evidence
+
+
 # --- language and toxicity
 
 
