@@ -237,7 +237,7 @@ def _look(bits: np.ndarray):
             rows = []
             for key, text in zip(batch.column("text_hash").to_pylist(), batch.column("text"), strict=True):
                 text = text.as_py()
-                if base_spans(text) and any(map(hashes.__getitem__, set(_TERM.findall(text)))):
+                if any(map(hashes.__getitem__, set(_TERM.findall(text)))):
                     rows += [(key, *x) for x in placed(text, base_spans(text), hashes)]
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["_hash", "t", "s", "e"])

@@ -151,6 +151,15 @@ def test_disclosure_counts_whole_texts_and_parts_of_entities(spark):
     assert not any(got[i] for i in range(3000)) and not got[3005]  # one text is no evidence
 
 
+def test_disclosing_terms_are_marked_wherever_they_stand(spark):
+    filler = [f"plain words number{i} of a text" for i in range(3000)]
+    named = [f"the xavier {i} wrote {'plain words of a text ' * 9} to x@mail.com" for i in range(40)]
+    d = docs(spark, [*filler, *named, f"no entity here {'plain words of a text ' * 50} (XAVIER) xavier"])
+    assert term_texts(d)[3040] == ["XAVIER", "xavier"]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(d).collect()}
+    assert clean[3040].endswith("(<TERM>) <TERM>") and "xavier" not in clean[3005]
+
+
 # --- language and toxicity
 
 
