@@ -28,7 +28,7 @@ KINDS = ["email", "ip", "card", "phone", "term"]
 #: Production parameters: alpha of the disclosure test, least standard deviations above chance.
 ALPHA, Z = 0.9, 4.0
 #: Bits of a filter (a power of two), sums that a task holds, words whose hash a worker keeps.
-BITS, HELD, CACHE = 1 << 24, 300_000, 200_000
+BITS, HELD, CACHE = 1 << 24, 100_000, 100_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")

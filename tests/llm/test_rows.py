@@ -160,6 +160,13 @@ def test_disclosing_terms_are_marked_wherever_they_stand(spark):
     assert clean[3040].endswith("(<TERM>) <TERM>") and "xavier" not in clean[3005]
 
 
+def test_copies_change_no_verdict(spark):
+    named = [f"xavier {a} wrote to x@mail.com" for a in ("one", "two", "three", "four", "five")]
+    texts = [*(f"plain words number{i}" for i in range(300)), *named]
+    once, copied = (term_texts(docs(spark, [*texts, *named[:1] * n])) for n in (0, 1000))
+    assert all("xavier" in once[i] and once[i] == copied[i] for i in range(300, 305)) and copied[305] == copied[1304] == once[300]
+
+
 # --- language and toxicity
 
 
