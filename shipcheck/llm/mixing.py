@@ -1,12 +1,14 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame operations alone.
 
-Each source's documents are cut into blocks.  Target weights become whole units a_s; in a cycle
-of H = sum of a_s slots, block j of source s is released at floor(j * H / a_s) and due at
-ceil((j + 1) * H / a_s).  Earliest deadline first over the released blocks meets every deadline
-(one block a slot, full load), so that at any slot each source is less than one block away from
-its share.  The schedule repeats from cycle to cycle, so that only one cycle for each set of
-sources that still have blocks is simulated, in one fold; every document then finds its slot by
-arithmetic."""
+Each source's documents are cut into blocks.  In the fluid schedule every source goes on by its exact
+weight w, and when one runs out, the others in proportion.  Time is cut into frames of H slots, and also
+where a source runs out.  At each
+frame's end a source holds the floor or the ceiling of its fluid share: block j is released in the frame of
+j / w and due in that of (j + 1) / w, earliest deadline first; the fluid schedule shows that all
+deadlines can be met.  So rounding never adds up, and a source may have no block in a frame.  In a frame
+with a of a source's blocks, its block j is released at floor(j * H / a) and due at ceil((j + 1) * H / a), and
+earliest deadline first again meets every deadline, less than one block away from the frame's share.
+Frames are simulated one by one in a fold over sources, their slots in parallel, one row per frame."""
 
 from __future__ import annotations
 
@@ -15,79 +17,95 @@ from pyspark.sql import functions as F
 
 from .common import global_rank, materialise, shuffle_partitions
 
-#: Slots of one source's cycle, over all sources: target weights are rounded to 1 / CYCLE.
+#: Slots of a frame, over all sources, and documents of a block.
 CYCLE, BLOCK = 400, 16
 
 
-def source_units(sizes: DataFrame, targets: dict[str, float] | None, alpha: float, cycle: int) -> DataFrame:
-    """_src, n_docs, units: target weights (given, or n_docs ** alpha) in whole slots of a cycle, one at least."""
+def source_weights(sizes: DataFrame, targets: dict[str, float] | None, alpha: float, cycle: int | None) -> DataFrame:
+    """_src, n_docs, w: target weights (given, or n_docs ** alpha), exact or, with `cycle`, in whole slots of a cycle, one at
+    least.  Sources without a weight share one slot in CYCLE."""
     if targets:
         pairs = [x for k, v in targets.items() for x in (F.lit(k), F.lit(float(v)))]
         weight = F.coalesce(F.element_at(F.create_map(*pairs), F.col("_src")), F.lit(0.0))
     else:
         weight = F.pow(F.col("n_docs").cast("double"), F.lit(alpha))
     every = Window.partitionBy(F.lit(0))
-    return sizes.withColumn("_w", weight).select("_src", "n_docs", F.greatest(F.lit(1), F.round(F.col("_w") * cycle / F.sum("_w").over(every))).cast("int").alias("units"))
-
-
-def cycle_plan(units: DataFrame, block: int) -> DataFrame:
-    """A row for each phase and source in it: units, first cycle of the phase and its length in
-    slots, the number of blocks before the phase, and the slot of each of the source's blocks in a
-    full cycle and in the phase's last cycle.  One row per source goes in, so it is small."""
-    s = units.withColumn("_blocks", F.ceil(F.col("n_docs") / block)).withColumn("_until", F.expr("cast(ceil(_blocks / units) as bigint)"))
-    ends = s.select(F.col("_until").alias("_to")).distinct()
-    phases = ends.withColumn("_from", F.coalesce(F.lag("_to").over(Window.partitionBy(F.lit(0)).orderBy("_to")), F.lit(0)))
-    packed = s.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.col("_src").alias("src"), F.col("units").alias("a"), F.col("_blocks").alias("n"), F.col("_until").alias("u")))).alias("_all"))
-    p = phases.withColumn("_one", F.lit(1)).join(F.broadcast(packed.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    p = p.withColumn("_on", F.expr("filter(_all, x -> x.u > _from)"))
-    p = p.withColumn("_h", F.expr("aggregate(_on, 0, (s, x) -> s + x.a)"))
-    p = p.withColumn("_before", F.expr("aggregate(_all, 0L, (s, x) -> s + least(x.n, x.a * _from))"))
-    # the fold: `k` holds the next block of each source; at each slot the released block due first goes
-    pick = "array_min(filter(transform(_on, (x, i) -> named_struct('due', if(acc.k[i] < x.a and (cast(acc.k[i] as bigint) * _h) div x.a <= t, ((acc.k[i] + 1L) * _h + x.a - 1) div x.a, null), 'i', i)), y -> y.due is not null)).i"
-    p = p.withColumn(
-        "_full",
-        F.expr(f"""aggregate(sequence(0, _h - 1),
-            named_struct('k', transform(_on, x -> 0), 'out', cast(array() as array<struct<i: int, j: int>>)),
+    s = sizes.withColumn("_w", weight).withColumn("_sum", F.sum("_w").over(every)).withColumn("_none", F.sum((F.col("_w") <= 0).cast("int")).over(every))
+    if cycle:
+        w = F.greatest(F.lit(1.0), F.round(F.col("_w") * cycle / F.greatest("_sum", F.lit(1e-300))))
+    else:
+        w = F.when(F.col("_w") > 0, F.col("_w")).otherwise(F.when(F.col("_sum") > 0, F.col("_sum") / CYCLE).otherwise(1.0) / F.greatest("_none", F.lit(1)))
+    return s.select("_src", "n_docs", w.alias("w"))
+
+
+def frame_plan(weights: DataFrame, block: int, cycle: int | None) -> DataFrame:
+    """A row for each frame: its first slot _t, its slots _h and _on, the blocks of each source in it (src, a, from)."""
+    s = weights.withColumn("_n", F.ceil(F.col("n_docs") / block)).withColumn("_end", F.col("_n") / F.col("w"))
+    p = s.groupBy().agg(F.sort_array(F.collect_list(F.struct("_end", F.col("_src").alias("src"), F.col("_n").alias("n"), "w"))).alias("_all"))
+    # slots by virtual time: the least of the lines (ended blocks) + (live weight) * v; so v is the greatest of their inverses
+    p = p.withColumn("_lines", F.expr("""aggregate(_all, named_struct('n', 0L, 'w', aggregate(_all, 0D, (a, x) -> a + x.w), 'out', cast(array() as array<struct<n: bigint, w: double>>)),
+        (a, x) -> named_struct('n', a.n + x.n, 'w', a.w - x.w, 'out', concat(a.out, array(named_struct('n', a.n, 'w', a.w)))), a -> a.out)"""))
+    p = p.withColumn("_total", F.expr("aggregate(_all, 0L, (a, x) -> a + x.n)")).withColumn("_h", F.expr("cast(round(aggregate(_all, 0D, (a, x) -> a + x.w)) as bigint)") if cycle else F.lit(CYCLE).cast("bigint"))
+    p = p.where("_total > 0").withColumn("_ends", F.expr("""transform(array_sort(array_distinct(filter(concat(
+            transform(sequence(1L, (_total + _h - 1) div _h), c -> least(c * _h, _total)), transform(_all, (x, i) -> cast(floor(_lines[i].n + _lines[i].w * x._end + 1e-9D) as bigint))),
+            t -> t > 0 and t <= _total))),
+        t -> named_struct('t', t, 'v', if(t >= _total, 1e300D, array_max(transform(filter(_lines, g -> g.w > 0), g -> (t - g.n) / g.w)))))"""))
+    # the fold over frames: `k` holds each source's blocks so far; what is due, then what is released, by deadline
+    low = "transform(_all, (x, i) -> greatest(f.k[i], if(x.w * e.v >= x.n, x.n, cast(floor(x.w * e.v + 1e-9D) as bigint))))"
+    key = "named_struct('late', if(x.w * e.v > l[i] + 1e-9D and f.k[i] <= l[i] and l[i] <= x.w * e.v, 0, 1), 'due', (l[i] + 1) / x.w, 'i', i)"
+    held = f"transform(array({low}), l -> named_struct('l', l, 'need', cast(e.t - aggregate(l, 0L, (a, y) -> a + y) as int), 'keys', transform(_all, (x, i) -> if(l[i] < x.n, {key}, null))))[0]"
+    last = "transform(array(d), d -> if(d.need > 0, get(array_sort(filter(d.keys, y -> y is not null)), d.need - 1), null))[0]"
+    next_k = f"transform(array({last}), m -> transform(d.l, (y, i) -> if(m is not null and d.keys[i] is not null and d.keys[i] <= m, y + 1, y)))[0]"
+    p = p.withColumn("_frames", F.expr(f"""aggregate(_ends,
+        named_struct('k', transform(_all, x -> 0L), 'out', cast(array() as array<array<struct<i: int, a: bigint, from: bigint>>>)),
+        (f, e) -> aggregate(transform(array({held}), d -> {next_k}), f, (g, k) -> named_struct('k', k,
+            'out', concat(g.out, array(filter(transform(k, (y, i) -> named_struct('i', i, 'a', y - g.k[i], 'from', g.k[i])), z -> z.a > 0))))),
+        f -> f.out)"""))
+    p = p.select(F.expr("transform(_all, x -> x.src)").alias("_srcs"), F.expr("""aggregate(_frames, named_struct('t', 0L, 'out', cast(array() as array<struct<t: bigint, h: bigint, on: array<struct<i: int, a: bigint, from: bigint>>>>)),
+        (f, x) -> named_struct('t', f.t + aggregate(x, 0L, (a, y) -> a + y.a), 'out', concat(f.out, array(named_struct('t', f.t, 'h', aggregate(x, 0L, (a, y) -> a + y.a), 'on', x)))), f -> f.out)""").alias("_out"))
+    return p.select("_srcs", F.explode("_out").alias("_f")).select(F.col("_f.t").alias("_t"), F.col("_f.h").alias("_h"), F.expr("transform(_f.on, x -> named_struct('src', _srcs[x.i], 'a', x.a, 'from', x.from))").alias("_on"))
+
+
+def block_slots(frames: DataFrame) -> DataFrame:
+    """A row for each block, from a row for each frame: each frame's slots are simulated by itself."""
+    # the fold over slots: `k` holds the next block of each source; the released block due first goes
+    pick = "array_min(filter(transform(_on, (x, i) -> named_struct('due', if(acc.k[i] < x.a and (acc.k[i] * _h) div x.a <= t, ((acc.k[i] + 1L) * _h + x.a - 1) div x.a, null), 'i', i)), y -> y.due is not null)).i"
+    f = frames.withColumn(
+        "_slots",
+        F.expr(f"""aggregate(sequence(0L, _h - 1),
+            named_struct('k', transform(_on, x -> 0L), 'out', cast(array() as array<struct<i: int, j: bigint>>)),
             (acc, t) -> aggregate(array({pick}), acc, (b, m) -> named_struct(
                 'k', transform(b.k, (n, i) -> if(i = m, n + 1, n)),
                 'out', concat(b.out, array(named_struct('i', m, 'j', b.k[m]))))),
             acc -> acc.out)"""),
     )
-    p = p.withColumn("_last", F.expr("filter(_full, y -> y.j < _on[y.i].n - _on[y.i].a * (_to - 1))"))
-    rows = p.select("_from", "_to", "_h", "_before", "_full", "_last", F.posexplode("_on").alias("_i", "_x"))
-    slots = lambda c: F.expr(f"transform(filter(transform({c}, (y, t) -> named_struct('i', y.i, 't', t)), z -> z.i = _i), z -> z.t)")
-    return rows.select(
-        F.col("_x.src").alias("_psrc"), F.col("_x.a").alias("_a"), "_from", "_to", "_h", "_before", slots("_full").alias("_slots"), slots("_last").alias("_tail"),
+    f = f.select("_t", "_h", "_on", F.posexplode("_slots").alias("_at", "_s")).withColumn("_x", F.expr("_on[_s.i]")).withColumn("_j", F.col("_s.j"))
+    return f.select(
+        F.col("_x.src").alias("_psrc"), (F.col("_x.from") + F.col("_j")).alias("_pb"),
+        (F.col("_t") + F.expr("(_j * _h) div _x.a")).alias("release"), (F.col("_t") + F.expr("((_j + 1L) * _h + _x.a - 1) div _x.a")).alias("deadline"), (F.col("_t") + F.col("_at")).alias("slot"),
     )
 
 
-def mix(docs: DataFrame, targets: dict[str, float] | None = None, alpha: float = 0.5, block: int = BLOCK, cycle: int = CYCLE, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, float] | None = None, alpha: float = 0.5, block: int = BLOCK, cycle: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """Every row of docs with its place in the mix.
 
-    targets: weight by source (sources not named get the least share, one slot a cycle); None:
-    sizes to the power alpha.  When a source has no blocks left, the others go on in proportion.
+    targets: weight by source (sources not named share one slot in CYCLE); None: sizes to the power
+    alpha.  cycle: None schedules the exact weights; a number rounds them to whole slots of a cycle of
+    that length.  When a source has no blocks left, the others go on in proportion.
     A null source is a source of its own.  Rows of one source are ordered by a hash of their id,
-    so that a hot source is cut evenly: one range exchange of ids, no group in one task.
+    so that a hot source is cut evenly: one range exchange of ids, no group in one task; blocks
+    find their slots by a join on (source, block).
     Columns: doc_id, source, block (of the source), release, deadline, slot (all in blocks,
     global), offset (in the block), and `keep`."""
     keep = keep or []
     slim = docs.select("doc_id", "source", F.xxhash64("doc_id").alias("_mix"), *keep)
     ranked = global_rank(slim, ["_mix", "doc_id"], ["source"], name="mix")
     sizes = ranked.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs")).withColumnRenamed("source", "_src")
-    plan = materialise(cycle_plan(source_units(sizes, targets, alpha, cycle), block), "mixplan")
-    units = plan.select("_psrc", "_a").distinct()
+    frames = materialise(frame_plan(source_weights(sizes, targets, alpha, cycle), block, cycle), "mixframes")
+    plan = materialise(block_slots(frames.repartition(shuffle_partitions(docs.sparkSession))), "mixplan")
     r = ranked.withColumn("_b", F.expr(f"_rank div {block}L"))
-    r = r.join(units.withColumnRenamed("_psrc", "_usrc").withColumnRenamed("_a", "_ua"), F.col("source").eqNullSafe(F.col("_usrc")))
-    r = r.withColumn("_c", F.expr("_b div _ua")).withColumn("_j", F.expr("cast(_b % _ua as int)"))
-    r = r.join(plan, F.col("source").eqNullSafe(F.col("_psrc")) & (F.col("_c") >= F.col("_from")) & (F.col("_c") < F.col("_to")))
-    start = F.expr("_before + (_c - _from) * _h")
-    slot = F.expr("if(_c = _to - 1, get(_tail, _j), get(_slots, _j))")
-    return r.select(
-        "doc_id", "source", F.col("_b").alias("block"),
-        (start + F.expr("(cast(_j as bigint) * _h) div _a")).alias("release"),
-        (start + F.expr("((_j + 1L) * _h + _a - 1) div _a")).alias("deadline"),
-        (start + slot).alias("slot"), F.expr(f"_rank % {block}L").alias("offset"), *keep,
-    )
+    r = r.join(plan, F.col("source").eqNullSafe(F.col("_psrc")) & (F.col("_b") == F.col("_pb")))
+    return r.select("doc_id", "source", F.col("_b").alias("block"), "release", "deadline", "slot", F.expr(f"_rank % {block}L").alias("offset"), *keep)
 
 
 def in_order(docs: DataFrame, **how) -> DataFrame:

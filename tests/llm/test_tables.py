@@ -159,6 +159,27 @@ def test_mix_follows_given_targets(spark):
     assert order[:200] == want * 25
 
 
+def test_mix_keeps_to_the_exact_targets(spark):
+    def deviation(sizes, targets, block=1):
+        rows = [(1_000_000 * k + i, "t", "en", s, 1) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
+        got = mixing.mix(spark.createDataFrame(rows, DOCS), targets=targets, block=block).select("source", "block", "slot", "deadline").distinct().collect()
+        assert sorted(x["slot"] for x in got) == list(range(len(got))) and all(x["slot"] < x["deadline"] for x in got)
+        weight = targets or {s: n**0.5 for s, n in sizes.items()}
+        total, seen, worst = sum(weight.values()), Counter(), 0
+        for t, x in enumerate(sorted(got, key=lambda x: x["slot"])):
+            worst = max(worst, *(abs(seen[s] - t * w / total) for s, w in weight.items()))
+            seen[x["source"]] += 1
+            if seen[x["source"]] == sizes[x["source"]]:
+                break  # from here on others take its share
+        assert len(got) == sum(sizes.values())
+        return worst, t
+
+    worst, t = deviation({"hot": 9000, **{f"s{i}": 500 for i in range(19)}}, None)
+    assert worst < 2 and t > 5000
+    worst, t = deviation({"hot": 900, **{f"s{i}": 3 for i in range(999)}}, {"hot": 0.5, **{f"s{i}": 0.5 / 999 for i in range(999)}})
+    assert worst < 2 and t > 1000
+
+
 def test_packing(spark):
     tokenizer = packing._tokenizer()
     r = random.Random(2)
