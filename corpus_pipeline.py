@@ -29,8 +29,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
-    return packing.pack(docs)
+    """The pieces of the packed sequences, which follow the order of the mix."""
+    return packing.pack(docs, run=packing.RUN)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("personal_data", personal_data), ("mixed", mixed), ("packed", packed)]

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, shuffle_partitions, text_or_empty
@@ -18,6 +18,8 @@ from .hilbert import hilbert_index
 
 #: Production parameters: tokens of a sequence, id put after each document, projected dimensions and bits of each.
 LENGTH, END, DIMS, BITS = 2048, 1, 4, 12
+#: Consecutive documents of a given order that are packed along the curve together.
+RUN = 1024
 #: Most words whose ids a worker keeps, and the longest such word.
 _CACHE, _LONGEST = 200_000, 64
 _RARE, _LOOSE, _MARKS = re.compile(r"[^\S \n]"), re.compile(r"\s | \s|\s\Z"), frozenset(".,;:!?")
@@ -131,7 +133,7 @@ def curve_keys(counts: np.ndarray, sums: np.ndarray) -> np.ndarray:
     return hilbert_index(cells, BITS)
 
 
-_TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("key", pa.int64())])
+_TOKENS = pa.schema([("doc_id", pa.int64()), ("run", pa.int64()), ("ids", pa.binary()), ("key", pa.int64())])
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +148,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts = np.concatenate([[0], counts.cumsum()[:-1]])
             sums = np.stack([np.add.reduceat(column[every], starts) for column in signs], axis=1)  # small whole numbers: exact
             small = [np.frombuffer(r, np.uint32).astype(np.uint16).tobytes() for r in rows]  # the vocabulary has under 2 ** 16 ids
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(small, pa.binary()), pa.array(curve_keys(counts, sums))], schema=_TOKENS)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("run"), pa.array(small, pa.binary()), pa.array(curve_keys(counts, sums))], schema=_TOKENS)
 
 
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, curve_key long"
@@ -200,16 +202,28 @@ def powers_of_two(held: list[tuple], number: int) -> Iterator[tuple]:
             number += not room
 
 
-def pack(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def stored_order(docs: DataFrame, run: int) -> DataFrame:
+    """docs, as read from part files, with `run`: their place (files by name, rows in sequence) in runs of `run` documents."""
+    rows = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    counts = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("_file").alias("_name"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return rows.join(F.broadcast(starts), F.col("_file") == F.col("_name")).withColumn("run", F.expr(f"(_start + _at) div {run}L"))
+
+
+def pack(docs: DataFrame, length: int = LENGTH, run: int | None = None) -> DataFrame:
     """The pieces of sequences of `length` tokens: doc_id, start, length, ids (little-endian unsigned
     32-bit), doc_tokens, sequence_id, offset, curve_key.
 
     Each document is its ids and END; null text counts as empty.  Texts are encoded once and the ids
     (16 bits each) written to the shared folder; one range exchange by (key, hash of the id) brings
-    neighbours together and splits equal keys, such as thousands of copies, evenly.  Each task then
+    neighbours together and splits equal keys, such as thousands of copies, evenly.  With `run`, docs must
+    be read from files, and their order there is kept: runs of so many documents follow one another, and
+    the curve orders documents within each.  Each task then
     fills its sequences from a stream of rows, holding one batch; only its last sequence may be
     short, and that is cut at powers of two.  Repeated rows are packed each; empty input: no rows."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    tokens = materialise(slim.mapInArrow(_encode, "doc_id long, ids binary, key long"), "tokens").withColumn("_h", F.xxhash64("doc_id"))
-    near = tokens.repartitionByRange(shuffle_partitions(docs.sparkSession), "key", "_h").sortWithinPartitions("key", "_h")
+    placed = stored_order(docs, run) if run else docs.select("doc_id", "text", F.lit(0).cast("long").alias("run"))
+    slim = placed.select(F.col("doc_id").cast("long").alias("doc_id"), "run", text_or_empty().alias("text"))
+    tokens = materialise(slim.mapInArrow(_encode, "doc_id long, run long, ids binary, key long"), "tokens").withColumn("_h", F.xxhash64("doc_id"))
+    near = tokens.repartitionByRange(shuffle_partitions(docs.sparkSession), "run", "key", "_h").sortWithinPartitions("run", "key", "_h")
     return near.select("doc_id", "ids", "key").mapInArrow(_fill(length), _PIECES)

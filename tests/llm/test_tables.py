@@ -223,6 +223,29 @@ def test_pipeline(spark):
     assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == {r[0] for r in d.select("doc_id").collect()}
 
 
+def test_sequences_follow_the_mix(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice(["ka", "lo", "mi", "ne", "ru", "ta"]) for _ in range(4))
+    rows = [(i, f"the of {' '.join(word() for _ in range(60))}", "en", "hot" if i < 900 else f"s{i % 3}", 1) for i in range(1500)]
+    source = {i: s for i, _, _, s, _ in rows}
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(packing, "RUN", 200)
+    stages = [s for s in corpus_pipeline.STAGES if s[0] in ("mixed", "packed")]
+
+    def order(stages):
+        monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+        pieces = corpus_pipeline.run(spark, str(tmp_path)).where("start = 0").orderBy("sequence_id", "offset").collect()
+        return [p["doc_id"] for p in pieces]
+
+    mixed, plain = order(stages), order(stages[1:])
+    assert sorted(mixed) == sorted(plain) == list(range(1500)) and mixed != plain
+    weight = 900**0.5 / (900**0.5 + 3 * 200**0.5)
+    for at in range(0, 1000, 200):  # while every source has blocks
+        assert abs(sum(source[i] == "hot" for i in mixed[at : at + 200]) - 200 * weight) < 3 * mixing.BLOCK
+
+
 def test_stages_keep_columns_of_any_name(spark):
     from shipcheck.llm import langid, pii
 
