@@ -271,12 +271,12 @@ def rendered(spans: str) -> str:
 
 
 def masked(text: str, terms: list[tuple[int, int]]) -> str:
-    """text with every span generalised to its kind: <EMAIL>, <IP>, <CARD>, <PHONE>, <TERM>; of spans that overlap, the first."""
+    """text with every span generalised to its kind: <EMAIL>, <IP>, <CARD>, <PHONE>, <TERM>; spans that overlap are one, named by the first (the longest there)."""
     out, at = [], 0
-    for a, b, k in sorted([(a, b, k) for k, a, b in base_spans(text)] + [(a, b, 4) for a, b in terms]):
+    for a, b, k in sorted([(a, b, k) for k, a, b in base_spans(text)] + [(a, b, 4) for a, b in terms], key=lambda x: (x[0], -x[1], x[2])):
         if a >= at:
             out += [text[at:a], f"<{KINDS[k].upper()}>"]
-            at = b
+        at = max(at, b)
     return "".join([*out, text[at:]])
 
 

@@ -167,6 +167,11 @@ def test_copies_change_no_verdict(spark):
     assert all("xavier" in once[i] and once[i] == copied[i] for i in range(300, 305)) and copied[305] == copied[1304] == once[300]
 
 
+def test_overlapping_spans_are_masked_whole():
+    assert pii.masked("at 192.168.0.1@host.com now", []) == "at <EMAIL> now" and pii.masked("+1 555 0100.ann@x.com", []) == "<PHONE>"
+    assert "@" not in pii.masked("x 10.0.0.1@h.org, +1 555 0100 22.b@y.org", []) and pii.masked("a b", [(0, 1)]) == "<TERM> b"
+
+
 # --- language and toxicity
 
 
