@@ -221,6 +221,15 @@ def test_toxicity(spark):
     assert toxicity.fit(d, l.where("toxic = 1")) is None
 
 
+def test_rare_language_is_learnt(spark):
+    r = random.Random(1)
+    text = lambda words: " ".join(r.choice(words) for _ in range(30))
+    rows = [(i, text(["the", "quick", "brown", "fox", "of"]), "en", "s", 1) for i in range(12_000)] + [(20_000 + i, text(["žluť", "kůň", "příliš", "úpěl"]), "cs", "s", 1) for i in range(3)]
+    d = spark.createDataFrame(rows, DOCS)
+    got = langid.identify(d.where("doc_id >= 20000"), net=langid.fit(d)).collect()
+    assert [x["lang_pred"] for x in got] == ["cs"] * 3
+
+
 # --- quality
 
 
