@@ -230,6 +230,19 @@ def test_rare_language_is_learnt(spark):
     assert [x["lang_pred"] for x in got] == ["cs"] * 3
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice(["ka", "lo", "mi", "ne", "ru", "ta"]) for _ in range(r.randint(2, 4)))
+    rows, labels = [], []
+    for i in range(900):
+        text = ["the", "of", *(word() for _ in range(620)), *(["zgorfen"] if i % 3 == 0 else []), "end"]  # behind 3,000 characters
+        rows.append((i, " ".join(text), "en", "s", 0))
+        labels.append((i, 1, int(i % 3 == 0)))
+    d, l = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    held = [x for x in toxicity.score_toxicity(d, l).collect() if x["held_out"]]
+    assert np.mean([x["predicted"] == int(x["doc_id"] % 3 == 0) for x in held]) >= 0.97
+
+
 # --- quality
 
 
