@@ -1,78 +1,114 @@
-"""Normalise, compare, decide: from extracted fields to one decision per email."""
+"""Normalise, compare, decide: from extracted fields to one decision per email.
+
+The seven fields of a document stay together in one row, as arrays in canonical order."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as v
-from ..functions.text import normalize_containers, normalize_party, normalize_port, normalize_weight
+from ..functions.text import containers_rule, forms, let, party_rule, port_rule, weight_rule
 from .classify import classify
-from .extract import extract_fields
-from .identify import assess, select_documents
+from .extract import extract_values, field_rows
+from .identify import assess, choose, summarise
+
+#: The rule of each field, in canonical order.
+RULES = [party_rule, party_rule, party_rule, port_rule, port_rule, containers_rule, weight_rule]
+_SHIPPER, _CONSIGNEE, _NOTIFY = (v.FIELDS.index(f) for f in ("shipper", "consignee", "notify_party"))
+DECISION = ["email_id", "category", "status", "has_defect", "defect_fields", "review_reason", "classification_reasons"]
+
+
+def normalize_values(d: DataFrame, raw: str = "raw", into: str = "norm", unicode: bool = True) -> DataFrame:
+    """d with `into`, the normal values of the array column `raw`; a notify party given by reference takes the party it refers to."""
+    at = lambda c, i: F.get(c, F.lit(i))
+    d = d.withColumn("_forms", forms([at(raw, i) for i in range(len(v.FIELDS))], unicode))
+
+    def resolved(n: Column) -> Column:
+        notify = at(n, _NOTIFY)
+        party = F.when(notify == v.CONSIGNEE_MARK, at(n, _CONSIGNEE)).when(notify == v.SHIPPER_MARK, at(n, _SHIPPER)).otherwise(notify)
+        return F.array(*[party if i == _NOTIFY else at(n, i) for i in range(len(v.FIELDS))])
+
+    values = F.array(*[rule(at(raw, i), at("_forms", i)) for i, rule in enumerate(RULES)])
+    return d.withColumn(into, let(values, resolved)).drop("_forms")
+
+
+def normalize_fields(docs: DataFrame, keys: list[str], unicode: bool = True) -> DataFrame:
+    """keys, field, field_ord, raw, norm: a row per field for every row of docs (keys, content)."""
+    return field_rows(normalize_values(extract_values(docs), unicode=unicode), keys, raw="raw", norm="norm")
+
 
+def compared(si: Column, bl: Column) -> Column:
+    """From two structs (raw, norm): an array of (field, field_ord, si_raw, bl_raw, si_value, bl_value, status); null if either is null."""
 
-def normalize_field(field: Column, raw: Column, unicode: bool = True) -> Column:
-    return (
-        F.when(field.isin("shipper", "consignee", "notify_party"), normalize_party(raw, unicode))
-        .when(field.isin("port_of_loading", "port_of_discharge"), normalize_port(raw, unicode))
-        .when(field == "container_count", normalize_containers(raw, unicode))
-        .when(field == "gross_weight_kg", normalize_weight(raw, unicode))
-    )
+    def one(p: Column) -> Column:
+        a, b = p["si_value"], p["bl_value"]
+        status = F.when(a.isNull() & b.isNull(), "missing_in_both").when(a.isNull(), "missing_in_si").when(b.isNull(), "missing_in_bl").when(a == b, "match").otherwise("mismatch")
+        return F.struct(*[p[c].alias(c) for c in ("field", "field_ord", "si_raw", "bl_raw", "si_value", "bl_value")], status.alias("status"))
 
+    at = lambda side, c, i: F.get(side[c], F.lit(i))
+    pairs = F.array(*[
+        F.struct(F.lit(f).alias("field"), F.lit(i).alias("field_ord"), at(si, "raw", i).alias("si_raw"), at(bl, "raw", i).alias("bl_raw"), at(si, "norm", i).alias("si_value"), at(bl, "norm", i).alias("bl_value"))
+        for i, f in enumerate(v.FIELDS)
+    ])
+    return F.when(si.isNotNull() & bl.isNotNull(), F.transform(pairs, one))
 
-def normalize_fields(fields: DataFrame, keys: list[str], unicode: bool = True) -> DataFrame:
-    """fields with norm; a notify party given by reference takes the party it refers to."""
-    d = fields.withColumn("_n", normalize_field(F.col("field"), F.col("raw"), unicode))
-    document = Window.partitionBy(*keys)  # seven rows
-    party = lambda f: F.max(F.when(F.col("field") == f, F.col("_n"))).over(document)
-    d = d.withColumn("_shipper", party("shipper")).withColumn("_consignee", party("consignee"))
-    notify = F.col("field") == "notify_party"
-    norm = F.when(notify & (F.col("_n") == "__same_as_consignee__"), F.col("_consignee")).when(notify & (F.col("_n") == "__same_as_shipper__"), F.col("_shipper")).otherwise(F.col("_n"))
-    return d.select(*fields.columns, norm.alias("norm"))
 
+def comparison(items: Column) -> Column:
+    """match, incomplete or mismatch, from the array of compared fields."""
+    return F.when(F.forall(items, lambda x: x["status"] == "match"), "match").when(F.exists(items, lambda x: x["status"].startswith("missing")), "incomplete").when(items.isNotNull(), "mismatch")
 
-def compare(sides: DataFrame, key: str = "email_id") -> DataFrame:
-    """key, field, field_ord, si_value, bl_value, status from rows (key, role, field, field_ord, norm)."""
-    value = lambda role: F.max(F.when(F.col("role") == role, F.col("norm")))
-    d = sides.groupBy(key, "field", "field_ord").agg(value("SI").alias("si_value"), value("BL").alias("bl_value"))
-    status = (
-        F.when(F.col("si_value").isNull() & F.col("bl_value").isNull(), "missing_in_both").when(F.col("si_value").isNull(), "missing_in_si")
-        .when(F.col("bl_value").isNull(), "missing_in_bl").when(F.col("si_value") == F.col("bl_value"), "match").otherwise("mismatch")
-    )
-    return d.withColumn("status", status)
+
+def differing(items: Column) -> Column:
+    """The fields that don't match, in canonical order."""
+    return F.transform(F.filter(items, lambda x: x["status"] != "match"), lambda x: x["field"])
+
+
+def paired(sides: DataFrame, key: str = "email_id") -> DataFrame:
+    """key, comparisons from rows (key, role: SI or BL, raw, norm), by one aggregation; a side without a row has no values."""
+    none = F.array(*[F.lit(None).cast("string")] * len(v.FIELDS))
+    side = lambda role: F.coalesce(F.first(F.when(F.col("role") == role, F.struct("raw", "norm")), ignorenulls=True), F.struct(none.alias("raw"), none.alias("norm")))
+    d = sides.groupBy(key).agg(side("SI").alias("_si"), side("BL").alias("_bl"))
+    return d.select(key, compared(F.col("_si"), F.col("_bl")).alias("comparisons"))
+
+
+def compare(docs: DataFrame, key: str = "email_id", unicode: bool = True) -> DataFrame:
+    """key and an array of compared fields for documents (key, role, content)."""
+    return paired(normalize_values(extract_values(docs), unicode=unicode), key)
 
 
 def roll_up(comparisons: DataFrame, key: str = "email_id") -> DataFrame:
-    """key, comparison (match, incomplete, mismatch), defect_fields in canonical order."""
-    wrong = F.collect_list(F.when(F.col("status") != "match", F.struct("field_ord", "field")))
-    return comparisons.groupBy(key).agg(
-        F.when(F.bool_and(F.col("status") == "match"), "match").when(F.bool_or(F.col("status").startswith("missing")), "incomplete").otherwise("mismatch").alias("comparison"),
-        F.transform(F.array_sort(wrong), lambda x: x["field"]).alias("defect_fields"),
-    )
+    """key, comparison, defect_fields."""
+    return comparisons.select(key, comparison(F.col("comparisons")).alias("comparison"), differing(F.col("comparisons")).alias("defect_fields"))
 
 
-def decide(emails: DataFrame, attachments: DataFrame, unicode: bool = True) -> DataFrame:
-    """One decision per email: category, status, has_defect, defect_fields, review_reason, classification_reasons.
+def verify(emails: DataFrame, attachments: DataFrame, unicode: bool = True) -> DataFrame:
+    """One row per email with the decision (DECISION) and all its evidence: subject, sender, attachments
+    (assessed), si_pos, bl_pos, comparisons.
 
     emails(email_id, subject, body, sender), attachments(email_id, att_pos, filename, type_hint,
-    extraction, read_error, content).  Only comparison emails' attachments are assessed, only
-    selected documents are read; all steps group by email_id, so the exchange is one key's.  The two
-    slim results that several steps need (categories, positions) are persisted, memory and disk."""
-    classified = classify(emails, attachments).select("email_id", "category", "classification_reasons").persist()
-    wanted = classified.where(F.col("category") == "BL_COMPARISON").select("email_id")
-    assessed = assess(attachments.join(wanted, "email_id", "left_semi"))
-    chosen = select_documents(wanted, assessed).persist()
-    roles = chosen.where(F.col("review_reason").isNull()).select("email_id", F.inline(F.array(F.struct(F.lit("SI").alias("role"), F.col("si_pos").alias("att_pos")), F.struct(F.lit("BL").alias("role"), F.col("bl_pos").alias("att_pos")))))
-    docs = attachments.join(roles, ["email_id", "att_pos"]).select("email_id", "role", "content", "extraction")
-    keys = ["email_id", "role"]
-    fields = normalize_fields(extract_fields(docs, keys), keys, unicode)
-    comparisons = compare(fields)
-    rolled = roll_up(comparisons).join(docs.groupBy("email_id").agg(F.coalesce(F.bool_or(F.lower("extraction").startswith("ocr")), F.lit(False)).alias("_ocr")), "email_id")
-    d = classified.join(chosen.select("email_id", "review_reason"), "email_id", "left").join(rolled, "email_id", "left")
-    reason = F.coalesce("review_reason", F.when(F.col("comparison") == "incomplete", F.when(F.col("_ocr"), "unreadable").otherwise("missing_value")))
-    d = d.withColumn("review_reason", F.when(F.col("category") == "BL_COMPARISON", reason))
-    status = F.when(F.col("category") == "BL_COMPARISON", F.when(F.col("review_reason").isNotNull(), "NEEDS_REVIEW").when(F.col("comparison") == "match", "OK").otherwise("MISMATCH"))
-    d = d.withColumn("status", status)
+    extraction, read_error, content).  Attachments are assessed where they lie and summed up per email
+    without their contents; the contents of comparison emails' two chosen documents join their
+    email by the same key, and one aggregation on it brings the sides together: emails, summaries and
+    contents are exchanged once each."""
+    d = choose(classify(emails.join(summarise(assess(attachments)), "email_id", "left")))
+    d = d.withColumn("_comparison", F.col("category") == "BL_COMPARISON").withColumn("_chosen", F.col("_comparison") & F.col("review_reason").isNull())
+    files = attachments.select(F.col("email_id").alias("_of"), F.col("att_pos").alias("_at"), "content", F.lower("extraction").startswith("ocr").alias("_ocr"))
+    j = d.join(files, (d["email_id"] == files["_of"]) & d["_chosen"] & (files["_at"].eqNullSafe(d["si_pos"]) | files["_at"].eqNullSafe(d["bl_pos"])), "left")
+    j = normalize_values(extract_values(j), unicode=unicode)
+    side = lambda pos: F.first(F.when(F.col("_at") == F.col(pos), F.struct("raw", "norm")), ignorenulls=True)
+    same = ["category", "classification_reasons", "review_reason", "_comparison", "si_pos", "bl_pos", "attachments", "subject", "sender"]
+    g = j.groupBy("email_id").agg(*[F.first(c).alias(c) for c in same], side("si_pos").alias("_si"), side("bl_pos").alias("_bl"), F.coalesce(F.bool_or("_ocr"), F.lit(False)).alias("_ocr"))
+    g = g.withColumn("comparisons", compared(F.col("_si"), F.col("_bl")))
+    g = g.withColumns({"_result": comparison(F.col("comparisons")), "_wrong": differing(F.col("comparisons"))})
+    reason = F.coalesce("review_reason", F.when(F.col("_result") == "incomplete", F.when(F.col("_ocr"), "unreadable").otherwise("missing_value")))
+    g = g.withColumn("review_reason", F.when(F.col("_comparison"), reason))
+    g = g.withColumn("status", F.when(F.col("_comparison"), F.when(F.col("review_reason").isNotNull(), "NEEDS_REVIEW").when(F.col("_result") == "match", "OK").otherwise("MISMATCH")))
     bad = F.coalesce(F.col("status") == "MISMATCH", F.lit(False))
-    return d.select("email_id", "category", "status", bad.alias("has_defect"), F.when(bad, F.col("defect_fields")).otherwise(F.array().cast("array<string>")).alias("defect_fields"), "review_reason", "classification_reasons")
+    g = g.withColumns({"has_defect": bad, "defect_fields": F.when(bad, F.col("_wrong")).otherwise(F.expr("cast(array() as array<string>)"))})
+    return g.select(*DECISION, "subject", "sender", "attachments", "si_pos", "bl_pos", "comparisons")
+
+
+def decide(emails: DataFrame, attachments: DataFrame, unicode: bool = True) -> DataFrame:
+    """One decision per email: DECISION alone."""
+    return verify(emails, attachments, unicode).select(*DECISION)

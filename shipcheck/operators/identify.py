@@ -2,63 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as v
-from ..functions.text import readable, suffix
+from ..functions.text import extraction_method, let, readable, source_format, suffix
+from .classify import signal
 
 
 def assess(attachments: DataFrame) -> DataFrame:
-    """attachments with suffix, readable, si_score, bl_score, document_type, reasons; row by row."""
-    d = attachments.withColumn("_head", F.left(F.coalesce("content", F.lit("")), F.lit(2000))).withColumn("suffix", suffix(F.col("filename")))
-    head, hint, name = F.col("_head"), F.lower(F.coalesce("type_hint", F.lit(""))), F.coalesce("filename", F.lit(""))
-    broken, plain = F.coalesce(F.col("read_error"), F.lit("")) != "", readable(F.coalesce("content", F.lit("")), F.col("suffix"))
-    hit = lambda p: head.rlike("(?i)" + p)
-    instruction = F.lit(False)
+    """attachments with suffix, readable, si_score, bl_score, document_type, reasons; row by row.
+
+    Each pattern is tried once; scores, type and reasons are made from these answers."""
+    head = F.translate(F.left(F.coalesce("content", F.lit("")), F.lit(2000)), "\x1c\x1d\x1e\x1f", "    ")
+    name, hint = F.coalesce("filename", F.lit("")), F.lower(F.coalesce("type_hint", F.lit("")))
+    titles = [*[p for p, _, _ in v.SI_TITLES], *[p for p, _ in v.BL_TITLES], *[p for p, _ in v.OTHER_TITLES]]
+    d = attachments.withColumns({
+        "suffix": suffix(name), "_titles": let(head, lambda h: F.array(*[h.rlike("(?iU)" + p) for p in titles])), "_broken": F.coalesce(F.col("read_error"), F.lit("")) != "",
+        "_names": F.struct(name.rlike(v.SI_FILENAME).alias("si"), name.rlike(v.BL_FILENAME).alias("bl")),
+        "_hints": F.struct((hint.contains("shipping instruction") | hint.rlike(r"(?U)\bsi\b")).alias("si"), (hint.contains("bill of lading") | hint.rlike(r"(?U)\bbl\b")).alias("bl")),
+    })
+    d = d.withColumn("_plain", readable(F.coalesce("content", F.lit("")), F.col("suffix")))
+    at = {p: F.get("_titles", F.lit(i)) for i, p in enumerate(titles)}
+    none = F.lit(False)
+    instruction, other = none, none
     for p, _, score in v.SI_TITLES:
-        instruction = instruction | (hit(p) if score == 14 else F.lit(False))
-    named_si, named_bl = name.rlike("(?i)" + v.SI_FILENAME), name.rlike("(?i)" + v.BL_FILENAME)
-    told_si, told_bl = hint.contains("shipping instruction") | hint.rlike(r"\bsi\b"), hint.contains("bill of lading") | hint.rlike(r"\bbl\b")
-    si = sum((F.when(hit(p), score).otherwise(0) for p, _, score in v.SI_TITLES), F.lit(0)) + F.when(named_si, 3).otherwise(0) + F.when(told_si, 2).otherwise(0)
-    bl = sum((F.when(hit(p) & ~instruction, 10).otherwise(0) for p, _ in v.BL_TITLES), F.lit(0)) + F.when(named_bl, 3).otherwise(0) + F.when(told_bl, 2).otherwise(0)
-    other = F.lit(False)
+        instruction = instruction | at[p] if score > 10 else instruction
     for p, _ in v.OTHER_TITLES:
-        other = other | hit(p)
-    d = d.withColumn("si_score", si).withColumn("bl_score", bl).withColumn("_other", other).withColumn("_instruction", instruction)
-    kind = (
-        F.when(F.col("_other"), "OTHER")
-        .when((F.col("si_score") == F.col("bl_score")), F.lit(None))
-        .when(F.col("si_score") > F.col("bl_score"), "SI")
-        .otherwise("BL")
-    )
-    tie = ~F.col("_other") & (F.col("si_score") == F.col("bl_score")) & (F.col("si_score") > 0)
+        other = other | at[p]
+    d = d.withColumns({"_instruction": instruction, "_other": other})
+    points = lambda test, n: F.when(test, n).otherwise(0)
+    beside = lambda role: points(F.col(f"_names.{role}"), 3) + points(F.col(f"_hints.{role}"), 2)
+    si, bl = beside("si"), beside("bl")
+    for p, _, score in v.SI_TITLES:
+        si = si + points(at[p], score)
+    for p, _ in v.BL_TITLES:
+        bl = bl + points(at[p] & ~F.col("_instruction"), 10)
+    d = d.withColumns({"si_score": si, "bl_score": bl})
+    equal = F.col("si_score") == F.col("bl_score")
+    kind = F.when(F.col("_other"), "OTHER").when(equal, F.lit(None)).when(F.col("si_score") > F.col("bl_score"), "SI").otherwise("BL")
     reasons = F.array_compact(F.array(
-        F.when(broken, "unreadable attachment"), F.when(~plain, "non-text or malformed content"),
-        *[F.when(hit(p), label) for p, label, _ in v.SI_TITLES], *[F.when(hit(p) & ~F.col("_instruction"), label) for p, label in v.BL_TITLES], *[F.when(hit(p), label) for p, label in v.OTHER_TITLES],
-        F.when(named_si, "filename: SI"), F.when(named_bl, "filename: BL"), F.when(told_si, "metadata: SI"), F.when(told_bl, "metadata: BL"), F.when(tie, "ambiguous SI/BL evidence"),
+        F.when(F.col("_broken"), "unreadable attachment"), F.when(~F.col("_plain"), "non-text or malformed content"),
+        *[F.when(at[p], label) for p, label, _ in v.SI_TITLES], *[F.when(at[p] & ~F.col("_instruction"), label) for p, label in v.BL_TITLES], *[F.when(at[p], label) for p, label in v.OTHER_TITLES],
+        *[F.when(F.col(f"_{kind}s.{role}"), f"{what}: {role.upper()}") for kind, what in (("name", "filename"), ("hint", "metadata")) for role in ("si", "bl")],
+        F.when(~F.col("_other") & equal & (F.col("si_score") > 0), "ambiguous SI/BL evidence"),
     ))
-    return d.select(*attachments.columns, "suffix", (plain & ~broken).alias("readable"), "si_score", "bl_score", kind.alias("document_type"), reasons.alias("reasons"))
+    return d.select(*attachments.columns, "suffix", (F.col("_plain") & ~F.col("_broken")).alias("readable"), "si_score", "bl_score", kind.alias("document_type"), reasons.alias("reasons"))
 
 
-def select_documents(emails: DataFrame, assessed: DataFrame) -> DataFrame:
-    """email_id, si_pos, bl_pos, review_reason for every row of emails, by one aggregation.
+def summarise(assessed: DataFrame) -> DataFrame:
+    """One row per email with attachments, by one aggregation that moves no contents: n_attachments, att_text
+    (for classify), n_readable, typed, si and bl (candidates, best first), and attachments (all, in order)."""
+    best = lambda role: F.sort_array(F.collect_list(F.when(F.col("readable") & (F.col("document_type") == role.upper()), F.struct(F.col(f"{role}_score").alias("score"), "att_pos"))), asc=False)
+    given = lambda c: F.col(c) if c in assessed.columns else F.lit(None).cast("string")
+    item = F.struct(
+        "att_pos", "filename", source_format(F.col("filename"), given("source_format")).alias("source_format"), extraction_method(F.col("filename"), F.col("extraction")).alias("extraction"),
+        F.nullif("read_error", F.lit("")).alias("read_error"), "document_type", "reasons", "readable", given("source").alias("source"), "si_score", "bl_score",
+    )
+    texts = F.array_sort(F.collect_list(F.struct("att_pos", signal().alias("t"))))
+    return assessed.groupBy("email_id").agg(
+        F.count(F.lit(1)).alias("n_attachments"), F.concat_ws(" ", F.transform(texts, lambda x: x["t"])).alias("att_text"), F.count_if("readable").alias("n_readable"),
+        F.max(F.col("document_type").isin("SI", "BL") & F.col("readable")).alias("typed"), best("si").alias("si"), best("bl").alias("bl"), F.array_sort(F.collect_list(item)).alias("attachments"),
+    )
+
+
+def _top(c: str, i: int) -> Column:
+    return F.get(c, F.lit(i))
+
+
+def choose(d: DataFrame) -> DataFrame:
+    """d (with the columns of summarise) with si_pos, bl_pos, review_reason.
 
     The best of each role wins; a tie at the top of a role is no choice (wrong_doc_type)."""
-    best = lambda role, score: F.sort_array(F.collect_list(F.when(F.col("readable") & (F.col("document_type") == role), F.struct(F.col(score).alias("score"), "att_pos"))), asc=False)
-    g = assessed.groupBy("email_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("readable").alias("n_readable"), F.max(F.col("document_type").isin("SI", "BL") & F.col("readable")).alias("typed"),
-        best("SI", "si_score").alias("si"), best("BL", "bl_score").alias("bl"),
-    )
-    d = emails.select("email_id").join(g, "email_id", "left")
-    top = lambda c, i: F.get(c, F.lit(i))
-    tied = lambda c: F.coalesce(top(c, 0)["score"] == top(c, 1)["score"], F.lit(False))
+    none = lambda c: F.coalesce(F.size(c), F.lit(0)) == 0
+    tied = lambda c: F.coalesce(_top(c, 0)["score"] == _top(c, 1)["score"], F.lit(False))
+    lacking = F.when(F.col("n_readable") < F.col("n_attachments"), "unreadable").when((F.col("n_attachments") == 1) & F.col("typed"), "missing_attachment").otherwise("wrong_doc_type")
     reason = (
-        F.when(F.coalesce("n", F.lit(0)) == 0, "missing_attachment")
-        .when(F.col("n_readable") == 0, "unreadable")
-        .when((F.size("si") == 0) | (F.size("bl") == 0), F.when(F.col("n_readable") < F.col("n"), "unreadable").when((F.col("n") == 1) & F.col("typed"), "missing_attachment").otherwise("wrong_doc_type"))
-        .when(tied(F.col("si")) | tied(F.col("bl")), "wrong_doc_type")
-    )
+        F.when(F.coalesce("n_attachments", F.lit(0)) == 0, "missing_attachment").when(F.col("n_readable") == 0, "unreadable")
+        .when(none("si") | none("bl"), lacking).when(tied("si") | tied("bl"), "wrong_doc_type")
+    )
     d = d.withColumn("review_reason", reason)
-    pos = lambda c: F.when(F.col("review_reason").isNull(), top(F.col(c), 0)["att_pos"])
-    return d.select("email_id", pos("si").alias("si_pos"), pos("bl").alias("bl_pos"), "review_reason")
+    pos = lambda c: F.when(F.col("review_reason").isNull(), _top(c, 0)["att_pos"])
+    return d.withColumns({"si_pos": pos("si"), "bl_pos": pos("bl")})
+
+
+def select_documents(emails: DataFrame, assessed: DataFrame) -> DataFrame:
+    """email_id, si_pos, bl_pos, review_reason for every row of emails."""
+    return choose(emails.select("email_id").join(summarise(assessed), "email_id", "left")).select("email_id", "si_pos", "bl_pos", "review_reason")

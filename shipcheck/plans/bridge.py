@@ -70,9 +70,11 @@ def oracle(sql: str, *parts: str) -> str:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dealt out by email before any text is made of them: emails and attachments then lie together, so
+    that what joins or groups them by email needs no further exchange."""
     for t in TABLES:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(FACTS)
+    return spark.sql(FACTS).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "email_id")
 
 
 def emails_and_attachments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

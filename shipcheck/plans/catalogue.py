@@ -30,9 +30,20 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _spread(d: DataFrame) -> DataFrame:
+    """d in as many partitions as there are cores, if its files have fewer splits: row-wise work on one small file
+    would run in one task.  Tables with more splits are left alone."""
+    cores = d.sparkSession.sparkContext.defaultParallelism
+    return d.repartition(cores) if d.rdd.getNumPartitions() < cores else d
+
+
 def _decisions(spark: SparkSession, sf: str) -> DataFrame:
     emails, attachments = bridge.emails_and_attachments(spark, sf)
-    return decide.decide(emails, attachments, unicode=False)
+    return decide.decide(emails, attachments)
+
+
+def _verified(spark: SparkSession, sf: str) -> DataFrame:
+    return decide.verify(*bridge.emails_and_attachments(spark, sf))
 
 
 _joined = lambda c: F.concat_ws("; ", c)
@@ -128,14 +139,12 @@ _NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 def h19_normalize_fields(spark, sf):
     _, attachments = bridge.emails_and_attachments(spark, sf)
     keys = ["email_id", "att_pos"]
-    return decide.normalize_fields(extract.extract_fields(attachments, keys), keys, unicode=False).select(*keys, "field", "norm")
+    return decide.normalize_fields(attachments, keys).select(*keys, "field", "norm")
 
 
 def _comparisons(spark, sf):
     _, attachments = bridge.emails_and_attachments(spark, sf)
-    sided = attachments.withColumn("role", F.when(F.col("att_pos") == 0, "SI").otherwise("BL")).select("email_id", "role", "content")
-    keys = ["email_id", "role"]
-    return decide.compare(decide.normalize_fields(extract.extract_fields(sided, keys), keys, unicode=False))
+    return decide.compare(attachments.select("email_id", F.when(F.col("att_pos") == 0, "SI").otherwise("BL").alias("role"), "content"))
 
 
 _STATUS = """select email_id, field, case when dm in (7, 10) and field = 'consignee' then 'match' when dm in (7, 9, 10) then 'missing_in_bl' when dm in (5, 6) and field = 'notify_party' then 'missing_in_bl'
@@ -145,7 +154,7 @@ _STATUS = """select email_id, field, case when dm in (7, 10) and field = 'consig
 
 @query(bridge.oracle(_STATUS))
 def d10_compare(spark, sf):
-    return _comparisons(spark, sf).select("email_id", "field", "status")
+    return _comparisons(spark, sf).select("email_id", F.inline("comparisons")).select("email_id", "field", "status")
 
 
 @query(bridge.oracle(f"""select email_id, case when bool_and(status = 'match') then 'match' when bool_or(status like 'missing%') then 'incomplete' else 'mismatch' end as comparison,
@@ -194,22 +203,19 @@ def f2_notable(spark, sf):
 
 @query(bridge.oracle("select email_id, subject, category, status, review_reason, cast(case when defect_fields = '' then 0 else 1 end as int) as defect_count from expected join emails_v using (email_id)", _E, "emails_v"))
 def b10_list_items(spark, sf):
-    emails, attachments = bridge.emails_and_attachments(spark, sf)
-    return report.list_items(decide.decide(emails, attachments, unicode=False), emails)
+    emails, _ = bridge.emails_and_attachments(spark, sf)
+    return report.list_items(_decisions(spark, sf), emails)
 
 
 @query(bridge.oracle("select email_id, subject, category, status, review_reason, cast(case when defect_fields = '' then 0 else 1 end as int) as defect_count from expected join emails_v using (email_id) where contains(lower(subject), 'compare') and status = 'MISMATCH'", _E, "emails_v"))
 def c2_search(spark, sf):
-    emails, attachments = bridge.emails_and_attachments(spark, sf)
-    return report.search(report.list_items(decide.decide(emails, attachments, unicode=False), emails), query=" COMPARE ", status="MISMATCH")
+    return report.search(report.list_items(_verified(spark, sf)), query=" COMPARE ", status="MISMATCH")
 
 
 @query(bridge.oracle(f"""select email_id, subject, review_reason, concat_ws('; ', nullif(e.reasons, ''), a.reasons) as evidence from expected e join emails_v using (email_id)
   left join (select email_id, string_agg(reasons, '; ' order by att_pos) as reasons from ({_ASSESSED}) group by 1) a using (email_id) where status = 'NEEDS_REVIEW'""", _E, "emails_v", "attachments_v"))
 def c4_review_queue(spark, sf):
-    emails, attachments = bridge.emails_and_attachments(spark, sf)
-    q = report.review_queue(decide.decide(emails, attachments, unicode=False), emails, identify.assess(attachments))
-    return q.withColumn("evidence", _joined("evidence"))
+    return report.review_queue(_verified(spark, sf)).select("email_id", "subject", "review_reason", _joined("evidence").alias("evidence"))
 
 
 @query(bridge.oracle("select email_id, status from expected where status in ('MISMATCH', 'NEEDS_REVIEW')", _E))
@@ -225,11 +231,7 @@ def b16_extraction_status(spark, sf):
 @query(bridge.oracle(f"""select email_id, field, case when e.status in ('OK', 'MISMATCH') then upper(s.status) else 'UNAVAILABLE' end as result
   from (select email_id, status, unnest(['shipper', 'consignee', 'notify_party', 'port_of_loading', 'port_of_discharge', 'container_count', 'gross_weight_kg']) as field from expected where category = 'BL_COMPARISON') e left join ({_STATUS}) s using (email_id, field)""", _E))
 def b11_detail(spark, sf):
-    emails, attachments = bridge.emails_and_attachments(spark, sf)
-    sided = attachments.withColumn("role", F.when(F.col("att_pos") == 0, "SI").otherwise("BL")).select("email_id", "role", "content")
-    keys = ["email_id", "role"]
-    fields = decide.normalize_fields(extract.extract_fields(sided, keys), keys, unicode=False)
-    return report.detail(decide.decide(emails, attachments, unicode=False), fields, decide.compare(fields)).select("email_id", "field", "result")
+    return report.detail(_verified(spark, sf)).select("email_id", "field", "result")
 
 
 @query(bridge.oracle("""select email_id, case when k % 5 = 0 and category <> 'BL_COMPARISON' then 'comparison values on another category' when k % 5 = 1 and status = 'OK' then 'defects on OK'
@@ -267,32 +269,32 @@ def e10_duplicates(spark, sf):
 
 @query(f"select doc_id, md5({_fold_sql(_DOC)}) as folded from documents")
 def h1_fold(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", F.md5(t.fold(F.coalesce("text", F.lit("")))).alias("folded"))
+    return _spread(_table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.md5(t.fold(F.coalesce("text", F.lit("")))).alias("folded"))
 
 
 @query(f"select conv_id, turn, {_has_sql(_fold_sql(_DOC), ['the', 'of', 'in the'])} as found from conversations")
 def h2_has_term(spark, sf):
-    return _table(spark, sf, "conversations").select("conv_id", "turn", t.has_term(t.fold(F.coalesce("text", F.lit(""))), ["the", "of", "in the"]).alias("found"))
+    return _spread(_table(spark, sf, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", t.has_term(t.fold(F.coalesce("text", F.lit(""))), ["the", "of", "in the"]).alias("found"))
 
 
 @query(f"select doc_id, {_hits_sql(_fold_sql(_DOC), ['the', 'der', 'que', 'les', 'license'])} as hits from documents")
 def h3_hits(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", _joined(t.hits(t.fold(F.coalesce("text", F.lit(""))), ["the", "der", "que", "les", "license"])).alias("hits"))
+    return _spread(_table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", _joined(t.hits(t.fold(F.coalesce("text", F.lit(""))), ["the", "der", "que", "les", "license"])).alias("hits"))
 
 
 @query("select doc_id, md5(nullif(trim(regexp_replace(text, '\\s+', ' ', 'g')), '')) as cleaned from documents")
 def h7_clean(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", F.md5(t.clean(F.col("text"))).alias("cleaned"))
+    return _spread(_table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.md5(t.clean(F.col("text"))).alias("cleaned"))
 
 
 @query("select conv_id, turn, md5(split_part(text || chr(10) || '> quoted', chr(10) || '> quoted', 1)) as body from conversations")
 def f8_current_body(spark, sf):
-    return _table(spark, sf, "conversations").select("conv_id", "turn", F.md5(t.current_body(F.concat("text", F.lit("\n> quoted\nolder")))).alias("body"))
+    return _spread(_table(spark, sf, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", F.md5(t.current_body(F.concat("text", F.lit("\n> quoted\nolder")))).alias("body"))
 
 
 @query("select doc_id, length(left(text, 500)) as n500, length(left(text, 2000)) as n2000 from documents")
 def f9_caps(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", F.length(F.left("text", F.lit(500))).cast("long").alias("n500"), F.length(F.left("text", F.lit(2000))).cast("long").alias("n2000"))
+    return _spread(_table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.length(F.left("text", F.lit(500))).cast("long").alias("n500"), F.length(F.left("text", F.lit(2000))).cast("long").alias("n2000"))
 
 
 @query("select page_id, length(regexp_replace(html, '[^A-Za-z0-9]+', '', 'g')) >= 8 as usable from pages")
@@ -303,7 +305,7 @@ def a19_usable(spark, sf):
 @query("select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' and not contains(text, chr(0)) and (length(text) - length(replace(text, '�', ''))) / greatest(length(text), 1) < 0.05 and doc_id % 7 <> 0 as readable from documents")
 def c6_readable(spark, sf):
     name = F.when(F.col("doc_id") % 7 == 0, "scan.TIFF").otherwise("letter.txt")
-    return _table(spark, sf, "documents").select("doc_id", t.readable(F.col("text"), t.suffix(name)).alias("readable"))
+    return _spread(_table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", t.readable(F.col("text"), t.suffix(name)).alias("readable"))
 
 
 @query("select c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) || ' limited' as norm from customer")
@@ -334,21 +336,21 @@ def c10_placeholder(spark, sf):
 def h31_weight(spark, sf):
     q, m = F.col("l_quantity").cast("long").cast("string"), F.col("l_linenumber") % 4
     raw = F.when(m == 0, F.concat(q, F.lit(" KGS"))).when(m == 1, F.concat(q, F.lit(".0 metric tons"))).when(m == 2, F.concat(q, F.lit(",00"))).otherwise(F.concat(q, F.lit(",000 kg")))
-    return _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", t.normalize_weight(raw).alias("kg"))
+    return _spread(_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")).select("l_orderkey", "l_linenumber", t.normalize_weight(raw).alias("kg"))
 
 
 @query("select l_orderkey, l_linenumber, cast(case l_linenumber % 4 when 0 then cast(l_quantity as bigint) + 2 when 1 then cast(l_quantity as bigint) when 2 then 7 else cast(l_quantity as bigint) end as varchar) as n from lineitem")
 def h32_containers(spark, sf):
     q, m = F.col("l_quantity").cast("long").cast("string"), F.col("l_linenumber") % 4
     raw = F.when(m == 0, F.concat(q, F.lit(" x 40'HC + 2 X 20GP"))).when(m == 1, F.concat(F.lit("0"), q, F.lit(" containers"))).when(m == 2, "Seven").otherwise(q)
-    return _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", t.normalize_containers(raw).alias("n"))
+    return _spread(_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")).select("l_orderkey", "l_linenumber", t.normalize_containers(raw).alias("n"))
 
 
 @query("select l_orderkey, l_linenumber, cast(cast(l_extendedprice as decimal(18,2)) as varchar) as amount from lineitem")
 def h30_decimal(spark, sf):
     plain = F.format_number("l_extendedprice", 2)
     european = F.translate(plain, ",.", ".,")
-    return _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", t.decimal_from_text(F.when(F.col("l_linenumber") % 2 == 0, plain).otherwise(european)).cast("decimal(18,2)").cast("string").alias("amount"))
+    return _spread(_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")).select("l_orderkey", "l_linenumber", t.decimal_from_text(F.when(F.col("l_linenumber") % 2 == 0, plain).otherwise(european)).cast("decimal(18,2)").cast("string").alias("amount"))
 
 
 @query("select event_id, json_extract_string(props, '$.k') as k from events")
@@ -373,8 +375,7 @@ def i9_submission(spark, sf):
 
 @query()
 def i11_explain(spark, sf):
-    emails, attachments = bridge.emails_and_attachments(spark, sf)
-    return report.explain(decide.decide(emails, attachments, unicode=False), emails, _comparisons(spark, sf))
+    return report.explain(_verified(spark, sf))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

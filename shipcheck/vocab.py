@@ -50,15 +50,19 @@ SPAM_PRIZE = ["lottery", "you have won", "winner", "claim your prize", "free gif
 SPAM_PROMOTION = ["limited time offer", "exclusive offer", "unrealistic discount"]
 SPAM_INVESTMENT = ["crypto", "cryptocurrency", "guaranteed return", "guaranteed returns", "get rich quick", "earn money fast"]
 SPAM_INVESTMENT_STRONG = ["guaranteed return", "guaranteed returns", "get rich quick", "earn money fast"]
+SPAM_CRYPTO, SPAM_PAYMENT = ["crypto", "cryptocurrency"], ["invoice", "payment"]
 SPAM_CONTEXT = ["bitcoin", "crypto", "cryptocurrency", "investment opportunity"]
 
+GUARANTEED_RETURN = r"\bguaranteed\s+\d{2,4}\s*(?:percent\s+)?(?:return|returns)\b"
+EXTREME_DISCOUNT = r"\b(?:9[0-9]|100)\s*(?:percent|off)\b"
+
 # --- fixed values: letters whose case folding differs from lower-casing, where it matters after folding to [a-z0-9]
 FOLD_PAIRS = [
     ("ß", "ss"), ("ẞ", "ss"), ("ſ", "s"), ("ŉ", " n"), ("ǰ", "j "), ("ẖ", "h "), ("ẗ", "t "), ("ẘ", "w "), ("ẙ", "y "), ("ẚ", "a "),
     ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"),
 ]
 
-# --- fixed values: document titles (Java patterns, used with (?i) on the first 2000 characters)
+# --- fixed values: document titles (Java patterns, used with (?iU) on the first 2000 characters: white space and word ends as Unicode has them)
 SI_TITLES = [
     (r"\bshipping\s+instructions?\b", "content heading: shipping instruction", 10),
     (r"\bshipper'?s\s+instructions?\b", "content heading: shipper instruction", 10),
@@ -72,8 +76,8 @@ OTHER_TITLES = [
     (r"^\s*packing\s+list\b", "content heading: packing list"),
     (r"^\s*certificate\s+of\s+origin\b", "content heading: certificate of origin"),
 ]
-SI_FILENAME = r"(?:^|[_\-\s.])(?:si|shipping[_\-\s]?instruction)(?:$|[_\-\s.])"
-BL_FILENAME = r"(?:^|[_\-\s.])(?:bl|bol|bill[_\-\s]?of[_\-\s]?lading)(?:$|[_\-\s.])"
+SI_FILENAME = r"(?iU)(?:^|[_\-\s.])(?:si|shipping[_\-\s]?instruction)(?:$|[_\-\s.])"
+BL_FILENAME = r"(?iU)(?:^|[_\-\s.])(?:bl|bol|bill[_\-\s]?of[_\-\s]?lading)(?:$|[_\-\s.])"
 UNREADABLE_SUFFIXES = [".doc", ".xls", ".png", ".jpg", ".jpeg", ".tif", ".tiff"]
 
 # --- fixed values: label aliases of the seven fields (case-insensitive patterns)
@@ -86,9 +90,27 @@ LABELS = {
     "container_count": [r"(?:no\.?|number)\s*of\s*containers?\s+or\s+packages?", r"total\s+(?:no\.?|number)?\s*of\s*containers?", r"number\s+of\s+containers?", r"(?:no\.?|number)\s*of\s*containers?", r"container\s+count", r"total\s+containers?", r"containers?"],
     "gross_weight_kg": [r"total\s+gross\s+(?:weight|wt\.?)\s*(?:\([^)]*\))?", r"gross\s+weight[^\s:()]*\s*\(\s*kg(?:s)?\s*\)", r"gross\s+(?:weight|wt\.?)\s*\([^)]*\)", r"gross\s+weight\s*(?:\(?\s*kg(?:s)?\s*\)?)?", r"total\s+gross\s+weight", r"gross\s+(?:weight|wt\.?)", r"g\.?\s*w\.?"],
 }
-BOUNDARY = r"(?:ocean\s+vessel|export\s+carrier|vessel(?:\s*,?\s*voyage)?|container\s+(?:no\.?|number)|description|commodity|cargo\s+description|goods\s+description)\b"
-PLACEHOLDER = r"(?i)^(?:tba|tbd|n\s*/?\s*a|nil|unknown|pending|to\s+be\s+(?:advised|confirmed)|[-_]+|_+\s*(?:kg|kgs|kilograms?|mt|mts|metric\s*tons?))$"
-THREAD_BOUNDARY = r"(?i)^\s*(?:>|[-_ ]{3,}(?:original|forwarded)\s+message[-_ ]{3,}|from:\s|on\s+.+\s+wrote:)"
+BOUNDARY = r"(?iU)^(?:ocean\s+vessel|export\s+carrier|vessel(?:\s*,?\s*voyage)?|container\s+(?:no\.?|number)|description|commodity|cargo\s+description|goods\s+description)\b"
+BARE_WEIGHT = r"(?iU)^[0-9][0-9,.\s]*(?:kg|kgs|kilograms?)?$"
+KIND_EVIDENCE = {
+    "si": r"(?iU)\b(?:shipping\s+instruction|shipper'?s\s+instruction|bill\s+of\s+lading\s+instruction|bl\s+instruction|b\s*/\s*l\s+instruction|si)\b",
+    "bl": r"(?iU)\b(?:bill\s+of\s+lading|ocean\s+bill|b\s*/\s*l|bol)\b",
+}
+INSTRUCTION_TITLE = r"(?iU)\b(?:bill\s+of\s+lading|bl|b\s*/\s*l)\s+instruction\b"
+PLACEHOLDER = r"(?iU)^(?:tba|tbd|n\s*/?\s*a|nil|unknown|pending|to\s+be\s+(?:advised|confirmed)|[-_]+|_+\s*(?:kg|kgs|kilograms?|mt|mts|metric\s*tons?))$"
+THREAD_BOUNDARY = r"(?iU)^\s*(?:>{1,}|[-_ ]{3,}(?:original\s+message|forwarded\s+message)[-_ ]{3,}|from:\s|on\s+.+\s+wrote:)"
+
+# --- fixed values: party references, numbers and units (Java patterns, on lower-cased text; white space and word ends as Unicode has them)
+SAME_AS_CONSIGNEE, CONSIGNEE_MARK = ["same as consignee", "same as cnee"], "__same_as_consignee__"
+SAME_AS_SHIPPER, SHIPPER_MARK = ["same as shipper", "same as exporter"], "__same_as_shipper__"
+WEIGHT_NUMBER = r"(?U)[-+]?[0-9][0-9\s,.]*"
+WEIGHT_UNITS = [
+    ("kg", r"(?U)\b(?:kg|kgs|kilogram|kilograms|kilo)\b"), ("mt", r"(?U)\b(?:mt|mts|metric\s*ton(?:ne)?s?)\b"),
+    ("lb", r"(?U)\b(?:lb|lbs|pound|pounds)\b"), ("ambiguous", r"(?U)\b(?:ton|tons|tonne|tonnes)\b"),
+]
+POUND_KG = "0.45359237"
+CONTAINER_PARTS = r"(?U)\b([0-9]+)\s*(?:x|×)\s*(?:[0-9]{2,3}(?:\s*['\"]?\s*(?:gp|hc|hq|dv|rf|ot|ft))?|containers?)"
+CONTAINER_TOTAL = r"(?U)\b([0-9]+)\s*(?:containers?|cntrs?|units?)\b"
 
 # --- fixed values: normalisation maps
 LEGAL_WORDS = {
@@ -106,6 +128,7 @@ TEMPLATE_KEYS = {
     "has_defect": ["has_defect", "mismatch_found", "has_mismatch", "mismatch_detected"], "defect_fields": ["defect_fields", "mismatched_fields", "mismatch_fields", "defects"],
     "review_reason": ["review_reason", "review_code", "needs_review_reason"],
 }
+#: Names of the fields for people.
 DISPLAY = {
     "shipper": "shipper", "consignee": "consignee", "notify_party": "notify party", "port_of_loading": "port of loading", "port_of_discharge": "port of discharge",
     "container_count": "container count", "gross_weight_kg": "gross weight in kilograms",
