@@ -91,3 +91,32 @@ def text_or_empty() -> Column:
 def id_bucket(n: int) -> Column:
     """crc32 of doc_id as text, modulo n (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def least_hashed(rows: DataFrame, group: str, most: dict | int, weight: str | None = None, total: int | None = None) -> DataFrame:
+    """The distinct rows with _i, their place in their group by the hash of doc_id (then by all columns), up to `most` (one
+    number, or by group; nulls are no group).  With `weight`, only while the column's sum stays within `total`, one row at least.
+
+    Only hashes low enough to be among the first are ranked, so what a task holds is bounded."""
+    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(group, "_g")
+    n = F.lit(most) if isinstance(most, int) else F.coalesce(*[F.when(F.col("_g") == k, v) for k, v in most.items()], F.lit(0))
+    hashed = rows.withColumn("_h", F.xxhash64("doc_id")).join(F.broadcast(counts.withColumn("_m", n)), F.col(group) == F.col("_g"))
+    near = hashed.where((F.col("_h").cast("double") / 2.0**64 + 0.5) * F.col("_n") <= 2 * F.col("_m") + 20).distinct()
+    order = Window.partitionBy("_g").orderBy("_h", *rows.columns)
+    ranked = near.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= F.col("_m"))
+    if weight:
+        so_far = F.sum(weight).over(Window.partitionBy("_g").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+        ranked = ranked.withColumn("_sum", so_far).where((F.col("_i") == 1) | (F.col("_sum") <= total))
+    return ranked.select(*rows.columns)
+
+
+def bounded_sample(rows: DataFrame, group: str, most: dict | int, chars: int) -> DataFrame:
+    """Whole rows (group, doc_id, text) of a bounded sample: of each group the `most` with the least hash of doc_id, fewer
+    where their texts have over `chars` characters together (one at least).
+
+    Ids, hashes and lengths alone are ranked; texts are then fetched by the chosen ids, which are few.  Rows that share
+    id and text count once.  The choice doesn't depend on the order of rows."""
+    slim = rows.select(group, "doc_id", F.xxhash64("text").alias("_t"), F.length("text").alias("_c"))
+    chosen = least_hashed(slim, group, most, "_c", chars).select(F.col(group).alias("_g"), F.col("doc_id").alias("_id"), "_t")
+    same = (F.col(group) == F.col("_g")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t"))
+    return rows.join(F.broadcast(chosen), same, "left_semi").select(group, "doc_id", "text").dropDuplicates()

@@ -8,15 +8,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket
+from .common import bounded_sample, id_bucket
 
 #: Production parameters: bytes of a window, embedding size, filter widths, filters of each width.
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 8
 #: Training: most labelled documents of a language (those whose hashed id is least) and of all, characters of all (whole texts), steps, batch, rate.
-SAMPLE, MOST, CHARS, STEPS, BATCH, RATE = 1500, 6000, 32_000_000, 260, 64, 0.02
+SAMPLE, MOST, CHARS, STEPS, BATCH, RATE = 600, 2400, 8_000_000, 260, 64, 0.02
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -116,31 +116,13 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def least_hashed(rows: DataFrame, n: int) -> DataFrame:
-    """The n rows with the least hash of doc_id (a fixed, bounded sample): ids alone are sorted, then one filter."""
-    hashed = rows.withColumn("_h", F.xxhash64("doc_id"))
-    top = hashed.select("_h").orderBy("_h").limit(n).agg(F.max("_h")).first()[0]
-    return hashed.where(F.col("_h") <= F.lit(top if top is not None else 0)).limit(n).drop("_h")
-
-
-def sampled(rows: DataFrame, sample: int) -> DataFrame:
-    """Of each lang the `sample` rows with the least hash of doc_id; fewer where the languages have over MOST rows
-    or CHARS characters together (one row at least).  Hashes first leave about twice as many rows, texts whole."""
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    langs = max(counts.count(), 1)
-    n = max(1, min(sample, MOST // langs))
-    hashed = rows.withColumn("_h", F.xxhash64("doc_id")).join(F.broadcast(counts.withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang"))
-    few = hashed.where((F.col("_h").cast("double") / 2.0**64 + 0.5) * F.col("_n") <= 2 * n + 20)
-    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    few = few.withColumn("_i", F.row_number().over(order)).withColumn("_chars", F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return few.where((F.col("_i") == 1) | ((F.col("_i") <= n) & (F.col("_chars") <= CHARS // langs))).select("doc_id", "lang", "text")
-
-
 def fit(docs: DataFrame, sample: int = SAMPLE) -> ByteNet | None:
     """The network, learnt from text and non-null lang of rows whose hashed id isn't held out, a sample of each
-    language; None if there are none."""
+    language (whole texts; `sample` rows, fewer where all languages have over MOST or CHARS together); None if there are none."""
     rows = docs.where((id_bucket(5) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    got = sampled(rows.select("doc_id", "lang", "text"), sample).toPandas().sort_values(["doc_id", "text"])
+    langs = max(rows.select("lang").distinct().count(), 1)
+    few = bounded_sample(rows, "lang", max(1, min(sample, MOST // langs)), CHARS // langs)
+    got = few.toPandas().sort_values(["doc_id", "text"])
     got = got[[any(map(str.isalpha, t)) for t in got["text"]]]
     if not len(got):
         return None
