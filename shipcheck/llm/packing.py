@@ -39,9 +39,7 @@ def _tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True  # a text that spells a special token is ordinary text
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def _words_encoding():
@@ -63,10 +61,11 @@ class Encoder:
     spaces stand between words (no white space next to a space), a text falls apart at its
     spaces, and the ids of each ` word` can be kept: most words of a corpus are seen again and
     again.  A block's unknown words are encoded in one call, as one text.  A text with any other
-    white space goes through the tokenizer as it is."""
+    white space, or that spells a special token, goes through the tokenizer as it is."""
 
     def __init__(self, tokenizer):
         self._t, self._known, self._words = tokenizer, _Known(), _words_encoding()
+        self._special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]  # found by the tokenizer before words are split
         self._heads = np.zeros(1 << 16, bool)  # ids that begin with a space
         self._heads[[i for word, i in tokenizer.get_vocab().items() if word[0] == "\u0120"]] = True
 
@@ -79,7 +78,8 @@ class Encoder:
             return {}
         ids = np.array(self._words.encode_ordinary(" " + " ".join(words)), np.uint32)
         cuts = [*(4 * np.flatnonzero(self._heads[ids])).tolist(), 4 * len(ids)]
-        assert len(cuts) == len(words) + 1
+        if len(cuts) != len(words) + 1:
+            return {w: self._encoded(" " + w).tobytes() for w in words}
         data = ids.tobytes()
         return {w: data[a:b] for w, a, b in zip(words, cuts, cuts[1:], strict=False)}
 
@@ -88,7 +88,7 @@ class Encoder:
         split: list[list[str] | None] = []
         for text in texts:
             words = text.split(" ")
-            split.append(words if words[0] and not loose(text) else None)
+            split.append(words if words[0] and not loose(text) and not any(t in text for t in self._special) else None)
         known, seen = self._known, set()
         for words in split:
             if words:
