@@ -44,13 +44,13 @@ m as (select *, len(lines) - len(list_distinct(lines)) as n_dup_lines, [c1, c2,
   case {common} end as com from b),
 h as (select * exclude (com), case when com is not null then list_append(com, greatest(n_words - list_sum(com), 0)::bigint) end as com from m),
 r as (select lang as rl, sum(n_words) as rw, [{', '.join(f'sum(cls[{i}])' for i in range(1, 7))}] as rc, [{', '.join(f'sum(com[{i}])' for i in range(1, 14))}] as rm from h group by 1),
-d as (select h.*, coalesce(rep.n, 0) as n_repeat_words,
+d as (select h.*, rw, coalesce(rep.n, 0) as n_repeat_words,
   case when n_words >= {q.CLASS_WORDS} and rw >= {q.REFERENCE_WORDS} then {_distance('cls', 'rc', 6)} end as cd, case when n_words >= {q.WORD_WORDS} and rw >= {q.REFERENCE_WORDS} and com is not null then {_distance('com', 'rm', 13)} end as wd
   from h left join rep using (doc_id) left join r on h.lang is not distinct from r.rl),
 f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from d)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and coalesce(cd <= case when n_words < {q.WORD_WORDS} then {q.SHORT_LIMIT} else {q.CLASS_LIMIT} end, true) and coalesce(wd <= {q.WORD_LIMIT}, true) as kept,
-  round(cd, 6) as class_distance, round(wd, 6) as word_distance from f
+  round(cd, 6) as class_distance, round(wd, 6) as word_distance, rw::bigint as reference_words from f
 """
 
 

@@ -19,7 +19,7 @@ COMMON = {
 #: least words of any comparison, of a longer document, and of a reference.
 SHORT_LIMIT, CLASS_LIMIT, WORD_LIMIT, CLASS_WORDS, WORD_WORDS, REFERENCE_WORDS = 0.26, 0.18, 0.25, 50, 150, 20_000
 WS = r"[\x20\x09-\x0D]+"
-#: Bits of a packed number that hold a window's place: texts of up to 2 ** 24 words.
+#: Bits of a packed number that hold a window's place; longer texts take the exact sort at once.
 PLACE = 24
 
 
@@ -36,11 +36,17 @@ def measures(docs: DataFrame) -> DataFrame:
     d = d.withColumn("_w", F.array_remove(F.split("_t", WS), "")).withColumn("_n", F.size("_w"))
     # hash of each 3-word window; texts without an equal pair (most) need no sorting
     d = d.withColumn("_tri", F.expr("case when _n >= 3 then slice(transform(_w, (w, i) -> xxhash64(w, get(_w, i + 1), get(_w, i + 2))), 1, _n - 2) else cast(array() as array<bigint>) end"))
+    # hashes and places sorted as single numbers; neighbours are compared in full.  Where a window has a neighbour with the
+    # same top bits but another hash, and in texts with too many places, the whole hashes are sorted instead
     mask = (1 << PLACE) - 1
-    d = d.withColumn("_packed", F.expr(f"case when size(array_distinct(_tri)) < size(_tri) then sort_array(transform(_tri, (h, i) -> (h & {~mask}L) | i)) else cast(array() as array<bigint>) end"))
-    same = lambda a, b: f"(({a} | {mask}L) = ({b} | {mask}L) and get(_tri, cast({a} & {mask}L as int)) = get(_tri, cast({b} & {mask}L as int)))"
-    twice = f"coalesce({same('x', 'get(_packed, i - 1)')}, false) or coalesce({same('x', 'get(_packed, i + 1)')}, false)"
-    d = d.withColumn("_at", F.expr(f"sort_array(filter(transform(_packed, (x, i) -> if({twice}, x & {mask}L, -1L)), p -> p >= 0))"))
+    d = d.withColumn("_packed", F.expr(f"case when _n <= {mask} and size(array_distinct(_tri)) < size(_tri) then sort_array(transform(_tri, (h, i) -> (h & {~mask}L) | i)) else cast(array() as array<bigint>) end"))
+    near = lambda a, b: f"(({a} | {mask}L) = ({b} | {mask}L))"
+    same = lambda a, b: f"({near(a, b)} and get(_tri, cast({a} & {mask}L as int)) = get(_tri, cast({b} & {mask}L as int)))"
+    either = lambda test: f"(coalesce({test('x', 'get(_packed, i - 1)')}, false) or coalesce({test('x', 'get(_packed, i + 1)')}, false))"
+    d = d.withColumn("_seen", F.expr(f"transform(_packed, (x, i) -> if({either(same)}, x & {mask}L, if({either(near)}, -2L, -1L)))"))
+    d = d.withColumn("_rows", F.expr(f"case when _n > {mask} or array_contains(_seen, -2L) then array_sort(transform(_tri, (h, i) -> named_struct('h', h, 'i', cast(i as bigint)))) end"))
+    exact = "transform(_rows, (x, i) -> if(coalesce(x.h = get(_rows, i - 1).h, false) or coalesce(x.h = get(_rows, i + 1).h, false), x.i, -1L))"
+    d = d.withColumn("_at", F.expr(f"sort_array(filter(coalesce({exact}, _seen), p -> p >= 0))"))
     lines = F.expr(r"filter(split(_t, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')")
     d = d.withColumn("_lines", lines)
     chars = F.length("_t")
@@ -83,11 +89,12 @@ def references(m: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    class_distance and word_distance for every row of docs.
+    class_distance, word_distance and reference_words for every row of docs.
 
     kept: the base rules hold and neither distance is over its limit.  Guards: classes are compared
     from CLASS_WORDS words on, common words from WORD_WORDS on and in the listed languages only,
-    both only with references of REFERENCE_WORDS words.  A null language is a language of its own;
+    both only with references of REFERENCE_WORDS words (reference_words shows what the language has; a
+    smaller one tells nothing, and its documents are kept by the base rules alone).  A null language is a language of its own;
     null texts are empty (and fail the base rules).  Texts are read once; the measures (no texts)
     are written to the shared folder, summed per language, and judged."""
     m = materialise(measures(docs), "measures")
@@ -96,4 +103,4 @@ def judge(docs: DataFrame) -> DataFrame:
     m = m.withColumn("class_distance", F.when(enough(CLASS_WORDS), F.expr(distance("classes", "_rc")))).withColumn("word_distance", F.when(enough(WORD_WORDS), F.expr(distance("common", "_rm"))))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     near = F.coalesce(F.col("class_distance") <= F.when(F.col("n_words") < WORD_WORDS, SHORT_LIMIT).otherwise(CLASS_LIMIT), F.lit(True)) & F.coalesce(F.col("word_distance") <= WORD_LIMIT, F.lit(True))
-    return m.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & near).alias("kept"), F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
+    return m.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & near).alias("kept"), F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"), F.col("_rw").alias("reference_words"))
