@@ -18,13 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Only where the session has none (tests, a laptop) a local folder is used."""
+    Only where the session has none and runs in one process (tests, a laptop) a local folder is used; on a
+    cluster every machine would write to its own disk, so that is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext._jsc.sc().getCheckpointDir()
         d = d.get() if d.isDefined() else None
     if not d:
-        d = tempfile.mkdtemp(prefix="shipcheck-", dir=None)
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir is not set; {master} needs a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="shipcheck-")
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
 

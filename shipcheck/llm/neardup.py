@@ -183,7 +183,7 @@ def compared(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     grow with the input, so they are never broadcast), sets once for each pair."""
     pairs = materialise(pairs, name)
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    slim = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids.hint("merge"), "rep", "left_semi").dropDuplicates(["rep"])
+    slim = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids.hint("merge"), "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
     with batch_rows(docs.sparkSession, 1000):
         sets = materialise(slim.mapInArrow(_sets, "rep long, set binary"), name + "sets")
     sized = lambda x: sets.select(F.col("rep").alias(x), F.col("set").alias(f"set_{x}"), F.expr("octet_length(set) div 8").cast("long").alias(f"n{x}"))
@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
        bounds their intersection from above by sketches of these.  No cap anywhere.
 
     Null or wordless texts: empty set, linked with nothing.  Rows without an id link with nothing.
-    Repeated rows: one class.  Empty input: empty output."""
+    Repeated rows: one class.  Of an id with several texts the least one is compared.  Empty input: empty output."""
     rows = signed(docs)
     reps = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     reps = materialise(reps, "reps")

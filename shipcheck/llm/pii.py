@@ -285,10 +285,16 @@ def sanitise(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
 
     Pattern spans are found again in the texts' own tasks; only documents with disclosing terms
     have anything joined to them.  Null texts stay null; all other columns stay as they are."""
-    found = detect(docs, alpha).where(F.size("terms") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first("terms").alias("_terms"))
+    places = F.array_join(F.transform("terms", lambda x: F.concat_ws(":", x["s"], x["e"])), ",")
+    found = detect(docs, alpha).where(F.size("terms") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first(places).alias("_terms"))
     names = docs.columns
     joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
-    mask = F.udf(lambda t, x: None if t is None else masked(t, [(r["s"], r["e"]) for r in x or []]), "string", useArrow=True)
+
+    @F.pandas_udf("string")
+    def mask(texts: pd.Series, terms: pd.Series) -> pd.Series:
+        spans = [[tuple(map(int, x.split(":"))) for x in t.split(",")] if t else [] for t in terms]
+        return pd.Series([None if t is None else masked(t, x) for t, x in zip(texts, spans, strict=True)])
+
     may = F.col("_terms").isNotNull() | F.col("text").rlike("[0-9@]")
     text = F.when(may, mask("text", "_terms")).otherwise(F.col("text"))
     out = joined.withColumn("text", text)

@@ -20,7 +20,7 @@ def _curve(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
 
 
 def curve_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and _key, the curve index of four quantised dimensions: language and
+    """doc_id, lang, source, size, text_crc32 and _key, the curve index of four quantised dimensions: language and
     source (hashed), log2 of the size in eighths, and the id's place between the least and greatest id.
     Null language, source and id have cell 0; text null counts as empty."""
     size = F.octet_length(text_or_empty()).cast("long") + 1
@@ -30,7 +30,7 @@ def curve_keys(docs: DataFrame) -> DataFrame:
     cell = lambda c: F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % (top + 1), F.lit(0)).cast("int")
     age = F.coalesce(F.floor((F.col("doc_id") - lo).cast("double") * (top + 1) / (hi - lo + 1.0)), F.lit(0)).cast("int")
     return docs.select("doc_id", "lang", "source", size.alias("size"), F.crc32(text_or_empty().cast("binary")).alias("text_crc32")).select(
-        "doc_id", "size", "text_crc32",
+        "doc_id", "lang", "source", "size", "text_crc32",
         _curve(cell("lang"), cell("source"), F.least(F.floor(F.log2(F.col("size")) * 8), F.lit(top)).cast("int"), F.least(age, F.lit(top))).alias("_key"),
     )
 
@@ -41,17 +41,30 @@ def shard_by_curve(docs: DataFrame, shards: int = 16) -> DataFrame:
 
     Only ids and metadata are shuffled.  Ties on the curve are ordered by id, so a hot cell is
     split like any other run.  Empty input: empty output; repeated rows: each has a slot of its own.
-    Columns: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: only law `key` has it), curve_key."""
+    Columns: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: only law `key` has it), curve_key, lang, source."""
     ranked = global_rank(curve_keys(docs), ["_key", "doc_id", "text_crc32", "size"], name="shard")
     total = ranked.count()
     shard = F.expr(f"(_rank * {shards}L) div {max(total, 1)}L")
     first = F.expr(f"(_shard * {total}L + {shards - 1}L) div {shards}L")
     return (
         ranked.withColumn("_shard", shard)
-        .select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("_shard").cast("int").alias("shard"), (F.col("_rank") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("_key").alias("curve_key"))
+        .select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("_shard").cast("int").alias("shard"), (F.col("_rank") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("_key").alias("curve_key"), "lang", "source")
     )
 
 
+#: What a reader prunes shards by.
+DIMENSIONS = ["curve_key", "lang", "source", "size", "doc_id"]
+
+
 def shard_ranges(sharded: DataFrame) -> DataFrame:
-    """Per shard its row count, bytes and the span of curve keys: what a reader prunes files by."""
-    return sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("n_bytes"), F.min("curve_key").alias("min_key"), F.max("curve_key").alias("max_key"))
+    """Per shard n_rows, n_bytes and the least and greatest value of each of DIMENSIONS (of lang and source also whether some are
+    null): as many rows as shards."""
+    ends = [f(c).alias(f"{name}_{c}") for c in DIMENSIONS for name, f in (("min", F.min), ("max", F.max))]
+    return sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("n_bytes"), *ends, *[F.bool_or(F.col(c).isNull()).alias(f"null_{c}") for c in ("lang", "source")])
+
+
+def shards_to_read(ranges: DataFrame, **wanted: tuple) -> list[int]:
+    """The shards that may hold rows with every wanted column between its two given values (of at most as many rows as shards)."""
+    for c, (low, high) in wanted.items():
+        ranges = ranges.where((F.col(f"max_{c}") >= low) & (F.col(f"min_{c}") <= high))
+    return sorted(r[0] for r in ranges.select("shard").collect())

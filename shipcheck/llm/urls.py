@@ -18,7 +18,7 @@ LABELLED_HOSTS = {
         "pills-shop", "viagra-shop", "spam-farm", "link-farm", "spam-mail", "ads-track", "ads-serve", "track-click", "click-bait", "malware-host", "phish-login", "warez-crack",
         "crack-keys", "torrent-hd", "payday-loans", "fast-loans", "lottery-win", "escort-list"],
     0: ["news", "wiki", "docs", "library", "museum", "university", "weather", "recipes", "travel", "science", "history", "garden", "football", "school", "health", "music",
-        "thering", "thereon", "theres", "tionsh", "tionble", "tioning", "thernd", "thandor", "ontheat", "erening", "inglyre", "heating", "rendon", "ationor",
+        "heating", "engineering", "theatre", "station", "nation", "lending-library", "readings", "gathering", "rendering", "ontario", "andorra", "interior", "thermal", "mountain",
         "open-data", "city-guide", "book-review", "home-page", "daily-news", "my-notes", "data-science", "free-software", "online-library", "sport-news"],
 }
 #: More wanted hosts by rule: two parts side by side, and the empty url.

@@ -279,3 +279,108 @@ def test_quality(spark):
         if g["word_distance"] is not None:
             assert abs(g["word_distance"] - shannon(r["common"], common)) < 1e-5
     assert quality.judge(docs(spark, [])).count() == 0
+
+
+def test_quality_where_window_hashes_clash(spark, monkeypatch):
+    """With few bits for the hash, unlike windows interleave among equal ones; with few for the place, texts have too many places."""
+    r = random.Random(9)
+    texts = [" ".join(r.choice("abcdefgh") for _ in range(n)) for n in (50, 300, 1500)] + ["x y z " * 400, " ".join(map(str, range(900))), "long " * 30_000 + "end"]
+    for place in (62, 4):
+        monkeypatch.setattr(quality, "PLACE", place)
+        got = {x["doc_id"]: x["n_repeat_words"] for x in quality.measures(docs(spark, texts)).collect()}
+        assert [got[i] for i in range(len(texts))] == [brute_base(t)[4] for t in texts]
+
+
+def test_quality_says_what_the_references_hold(spark):
+    rows = quality.judge(docs(spark, ["word " * 60, None])).collect()
+    assert {x["reference_words"] for x in rows} == {60} and all(x["class_distance"] is None for x in rows)
+
+
+# --- media: the encoder's choice, the columns, damaged files
+
+
+def test_repetitive_texts_are_stored_with_references():
+    r = random.Random(3)
+    texts = ["", "same line of text, again and again\n" * 300, "ab" * 4000, "z", "".join(r.choice("abcdefghijklmnop ") for _ in range(6000)), ("x%d " % 5) * 3000 + "tail"]
+    payloads = list(map(media.payload, texts))
+    plain, files = webp.encode_batch(payloads), webp.encode_smallest(payloads)
+    assert webp.decode_batch(files) == payloads
+    assert all(len(f) <= len(p) for f, p in zip(files, plain, strict=True)) and [f != p for f, p in zip(files, plain, strict=True)] == [False, True, True, True, False, True]  # one colour: the plain code has no bits at all
+    assert len(files[1]) * 10 < len(plain[1])
+
+
+def test_damaged_plain_files_are_errors():
+    payloads = [media.payload("".join(map(chr, range(33, 120))) * 60), media.payload("second text, quite another one")]
+    files = webp.encode_batch(payloads)
+    for cut in (3, 60, 200):
+        body = files[0][20:-cut]
+        with pytest.raises(ValueError):
+            webp.decode_batch([webp.wrap(body), files[1]])
+        with pytest.raises(ValueError):
+            webp.decode_batch([webp.wrap(body)])
+
+
+def test_media_query_columns(spark, tmp_path):
+    import hashlib
+
+    from shipcheck.llm import queries
+
+    texts = ["hello", None, "", "é" * 700, "hello", "line\n" * 2000, "\u0000 nul"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op5_webp_media(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        p = data.ljust(max(1, -(-len(data) // 576)) * 576, b"\xff")
+        stored = webp.encode_smallest([p])[0]
+        want = (len(data), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(stored), hashlib.sha256(stored).hexdigest())
+        assert tuple(got[i][c] for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")) == want
+    assert got[0]["feature"] == got[4]["feature"]
+
+
+# --- toxicity: the network against plain loops, gradients, thresholds
+
+
+def tiny_texts(n, seed=2):
+    r = random.Random(seed)
+    words = toxicity.Words()
+    return [toxicity.codes(" ".join(r.choice(["the", "of", "ka", "lomi", "zgorf", "neru", "x"]) for _ in range(r.randint(1, 9))), words) for _ in range(n)]
+
+
+def test_convolution_equals_plain_loops():
+    net, texts = toxicity.WordNet(), tiny_texts(12)
+    want = []
+    for t in texts:
+        emb = [net.embed[c & (toxicity.ROWS - 1)] + net.embed[toxicity.ROWS + ((c >> 15) & (toxicity.ROWS - 1))] for c in t.tolist()]
+        emb += [np.zeros(toxicity.EMBED, np.float32)] * (max(toxicity.WIDTHS) - 1)
+        h = [max(sum(float(emb[at + k] @ f[k * toxicity.EMBED : (k + 1) * toxicity.EMBED, j]) for k in range(w)) for at in range(len(t))) for w, f in zip(toxicity.WIDTHS, net.filters, strict=True) for j in range(toxicity.FILTERS)]
+        want.append(float(np.maximum(np.array(h) + net.bias, 0) @ net.out + net.out_bias[0]))
+    assert np.allclose(net.logits(np.concatenate(texts), np.array([len(t) for t in texts])), want, atol=1e-4)
+
+
+def test_training_lowers_the_loss_and_thresholds_part_the_labels():
+    words, net = toxicity.Words(), toxicity.WordNet()
+    r = random.Random(8)
+    texts = [toxicity.codes(" ".join([r.choice(["the", "of", "ka", "lo"]) for _ in range(8)] + (["zgorfen"] if i % 2 else ["mine"])), words) for i in range(200)]
+    y = np.array([i % 2 for i in range(200)], np.float32)
+    loss = lambda: float(np.mean(np.logaddexp(0, net.logits(np.concatenate(texts), np.array([len(t) for t in texts])) * (1 - 2 * y))))
+    before = loss()
+    net.train(texts, y)
+    assert loss() < before / 2
+    net.calibrate(texts, y)
+    assert all((s >= toxicity.LEVEL) == bool(v) for s, v in zip(net.scores(texts), y, strict=True))
+
+
+# --- odd tables
+
+
+def test_odd_tables_of_row_operators(spark):
+    labels = spark.createDataFrame([(1, 0, 1), (1, 0, 1), (2, 1, 0), (None, None, None), (9, 0, 5)], "doc_id long, quality int, toxic int")
+    rows = [(1, "bad zgorf", "en", "s", 1), (1, "bad zgorf", "en", "s", 1), (2, "good text", None, None, None), (None, "no id", None, None, None), (3, "w " * 200_000, "en", "s", 1)]
+    d = spark.createDataFrame([(*x, "clash", 7) for x in rows], DOCS + ", score string, held_out int")
+    assert toxicity.score_toxicity(d, labels).count() == 5 and toxicity.score_toxicity(d.where("false"), labels).count() == 0 and toxicity.score_toxicity(d, labels.where("false")).count() == 5
+    assert langid.identify(d).count() == 5 and langid.identify(d.where("lang is null")).count() == 2
+    assert quality.judge(d.withColumnsRenamed({"score": "n_words", "held_out": "kept"})).count() == 5
+    assert pii.detect(d.withColumnsRenamed({"score": "spans", "held_out": "terms"})).count() == 5
+    pages = spark.createDataFrame([(1, "http://a.net/es/1", "x", "r"), (1, "http://a.net/es/1", "x", "r"), (None, None, None, None), (2, "http://" + "a" * 50_000, None, "r")], "page_id long, url string, rule string, verdict string")
+    got = urls.filter_urls(pages).collect()
+    assert len(got) == 4 and [x["verdict"] for x in got if x["page_id"] == 1] == ["block"] * 2 and urls.filter_urls(pages.where("false")).count() == 0

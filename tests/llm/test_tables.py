@@ -37,6 +37,21 @@ def test_shards(spark):
     assert sharding.shard_by_curve(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_shards_are_pruned_by_their_ends(spark):
+    rows = [(i, "t" * (1 + i % 300), ["en", "de", "fr", None][i % 4], f"s{i % 6}", 1) for i in range(2000)]
+    sharded = sharding.shard_by_curve(spark.createDataFrame(rows, DOCS))
+    ranges = sharding.shard_ranges(sharded)
+    by = {r["shard"]: r for r in ranges.collect()}
+    assert sum(r["n_rows"] for r in by.values()) == 2000 and any(r["null_lang"] for r in by.values())
+    everything = sharded.collect()
+    for wanted in ({"lang": ("de", "de")}, {"source": ("s3", "s3")}, {"doc_id": (0, 99)}, {"size": (250, 301), "lang": ("en", "fr")}):
+        read = sharding.shards_to_read(ranges, **wanted)
+        hit = {r["shard"] for r in everything if all(r[c] is not None and a <= r[c] <= b for c, (a, b) in wanted.items())}
+        assert hit <= set(read)
+        if "size" not in wanted:
+            assert len(read) < 16, wanted
+
+
 def brute_sets(text):
     w = (text or "").encode().lower().split()
     return frozenset([tuple(w)] if 0 < len(w) < 5 else (tuple(w[i : i + 5]) for i in range(len(w) - 4)))
@@ -181,10 +196,13 @@ def test_mix_keeps_to_the_exact_targets(spark):
 
 
 def test_packing(spark):
-    tokenizer = packing._tokenizer()
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     r = random.Random(2)
     word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 9))) + r.choice(["", "", ",", ".", "9"])
-    texts = [None, "", " ", "a  b", "\n x", "<|endoftext|> y", "日本 語\u3000x", "tail "] + [" ".join(word() for _ in range(r.choice([3, 50, 900, 4000]))) for _ in range(60)] + ["same text here"] * 20
+    texts = [None, "", " ", "a  b", "\n x", "<|endoftext|> y", "plain words <|endoftext|>", "a<|endoftext|>b c d", "日本 語\u3000x", "tail "] + [" ".join(word() for _ in range(r.choice([3, 50, 900, 4000]))) for _ in range(60)] + ["same text here"] * 20
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
     pieces = packing.pack(spark.createDataFrame(rows, DOCS)).collect()
     own, sequences = defaultdict(list), defaultdict(list)
@@ -259,3 +277,28 @@ def test_stages_keep_columns_of_any_name(spark):
     empty = d.where("false")
     for stage in (langid.keep_known, neardup.keep_one, pii.sanitise, mixing.in_order):
         assert stage(empty).count() == 0
+
+
+def test_an_id_with_several_texts(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(base), "en", "s", 0), (1, "zzz other words entirely", "en", "s", 0), (2, " ".join([*base[:-1], "x"]), "en", "s", 0), (3, None, None, None, None)]
+    seen = {tuple(sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in neardup.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(n)).collect())) for n in (1, 3, 7)}
+    assert len(seen) == 1
+
+
+def test_mix_of_many_sources(spark):
+    rows = [(i, "t", "en", f"s{i % 1500}" if i % 3 else "hot", 1) for i in range(9000)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), block=4).collect()
+    assert len(got) == 9000 and len({(x["source"], x["block"]) for x in got}) == len({x["slot"] for x in got})
+
+
+def test_shared_folder_is_needed_on_a_cluster(monkeypatch):
+    import pytest
+    from types import SimpleNamespace as O
+
+    from shipcheck.llm import common
+
+    none = O(isDefined=lambda: False)
+    session = O(conf=O(get=lambda k, d: d), sparkContext=O(master="spark://x:7077", _jsc=O(sc=lambda: O(getCheckpointDir=lambda: none))))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(session)
