@@ -14,25 +14,26 @@ from .hilbert import hilbert_index
 BITS = 8
 
 
-@F.pandas_udf(LongType())
-def _curve(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    return pd.Series(hilbert_index(np.stack([a, b, c, d], axis=1), BITS))
+def _number(c: str):
+    """A text's first six bytes as a number in the same order."""
+    return F.expr(f"cast(conv(rpad(hex(substring(cast(cast({c} as string) as binary), 1, 6)), 12, '0'), 16, 10) as double)")
 
 
 def curve_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, size, text_crc32 and _key, the curve index of four quantised dimensions: language and
-    source (hashed), log2 of the size in eighths, and the id's place between the least and greatest id.
-    Null language, source and id have cell 0; text null counts as empty."""
+    """doc_id, lang, source, size, text_crc32 and _key, the curve index of four quantised dimensions: language, source, size
+    and id, each cut into cells of about as many rows by approximate quantiles, so that cells follow the values'
+    order (texts by their first six bytes).  Nulls have cell 0; text null counts as empty."""
     size = F.octet_length(text_or_empty()).cast("long") + 1
-    lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    lo, hi = lo or 0, hi or 0
-    top = (1 << BITS) - 1
-    cell = lambda c: F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % (top + 1), F.lit(0)).cast("int")
-    age = F.coalesce(F.floor((F.col("doc_id") - lo).cast("double") * (top + 1) / (hi - lo + 1.0)), F.lit(0)).cast("int")
-    return docs.select("doc_id", "lang", "source", size.alias("size"), F.crc32(text_or_empty().cast("binary")).alias("text_crc32")).select(
-        "doc_id", "lang", "source", "size", "text_crc32",
-        _curve(cell("lang"), cell("source"), F.least(F.floor(F.log2(F.col("size")) * 8), F.lit(top)).cast("int"), F.least(age, F.lit(top))).alias("_key"),
-    )
+    d = docs.select("doc_id", "lang", "source", size.alias("size"), F.crc32(text_or_empty().cast("binary")).alias("text_crc32"))
+    axes = {"_lang": _number("lang"), "_source": _number("source"), "_size": F.col("size").cast("double"), "_id": F.col("doc_id").cast("double")}
+    ends = d.select(*[c.alias(k) for k, c in axes.items()]).approxQuantile(list(axes), [i / (1 << BITS) for i in range(1, 1 << BITS)], 0.002)
+
+    @F.pandas_udf(LongType())
+    def curve(a: pd.Series, b: pd.Series, c: pd.Series, e: pd.Series) -> pd.Series:
+        cells = [np.where(x.isna(), 0, np.searchsorted(cut, x.to_numpy(), side="right")) for x, cut in zip((a, b, c, e), ends, strict=True)]
+        return pd.Series(hilbert_index(np.stack(cells, axis=1), BITS))
+
+    return d.select("doc_id", "lang", "source", "size", "text_crc32", curve(*axes.values()).alias("_key"))
 
 
 def shard_by_curve(docs: DataFrame, shards: int = 16) -> DataFrame:
