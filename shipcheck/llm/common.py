@@ -42,6 +42,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on the session's Arrow batches have at most `rows` rows: whole texts are large, and both a
+    task's JVM and its worker hold a batch at a time.  For jobs that run several operators one after the other."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(min(rows, int(spark.conf.get(key)))))
+
+
 @contextlib.contextmanager
 def batch_rows(spark: SparkSession, rows: int):
     """Arrow batches of at most `rows` rows for the jobs that run inside, for rows that are large."""
