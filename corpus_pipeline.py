@@ -5,31 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shipcheck.llm import langid, mixing, neardup, packing, pii
-from shipcheck.llm.common import materialise, table
+from shipcheck.llm.common import materialise, small_batches, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier is able to tell."""
+    small_batches(spark)
     return langid.keep_known(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    small_batches(spark)
     return neardup.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with personal data and disclosing terms generalised in its text."""
+    small_batches(spark)
     return pii.sanitise(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, in the order of the mix: part files in sequence, rows in sequence within them."""
+    small_batches(spark)
     return mixing.in_order(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences, which follow the order of the mix."""
+    small_batches(spark)
     return packing.pack(docs, run=packing.RUN)
 
 
