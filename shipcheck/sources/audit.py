@@ -7,8 +7,10 @@ from pathlib import Path
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .. import vocab as v
+from ..functions.text import display, joined
 from ..operators import report
 
 
@@ -16,26 +18,54 @@ class Audit(NamedTuple):
     path: str
     included_ids: list[str]
 
+    @property
+    def included_count(self) -> int:
+        return len(self.included_ids)
 
-def write_audit(decisions: DataFrame, emails: DataFrame, comparisons: DataFrame, path: str, problems_only: bool = False) -> Audit:
+
+def _table(head: list[str], rows) -> str:
+    line = lambda tag, cells: "<tr>" + "".join(f"<{tag}>{escape(str(c))}" for c in cells)
+    return "<table>" + (line("th", head) if head else "") + "".join(line("td", r) for r in rows) + "</table>"
+
+
+def sections(verified: DataFrame) -> DataFrame:
+    """email_id, subject, category, evidence, files, fields, status, defects, reason, explanation: what an email's section shows, nulls as dashes."""
+    value = lambda c: display(c, none="-")
+    files = F.transform("attachments", lambda a: F.array(
+        value(a["filename"]), F.when(report._examined(), value(a["document_type"])).otherwise("Not evaluated"), F.when(report._examined(), joined(a["reasons"])).otherwise("Not evaluated (not a BL comparison)"), a["source_format"], a["extraction"]))
+    fields = F.when(report._examined(), F.transform(report._field_spine(), lambda f: F.array(f["field"], *[value(f[c]) for c in ("si_raw", "bl_raw", "si_norm", "bl_norm")], f["audit_result"])))
+    d = verified.select(
+        "email_id", value(F.col("subject")).alias("subject"), "category", joined(F.col("classification_reasons")).alias("evidence"), files.alias("files"), fields.alias("fields"),
+        value(F.col("status")).alias("status"), joined(F.col("defect_fields")).alias("defects"), value(F.col("review_reason")).alias("reason"),
+    )
+    return d.join(report.explain(verified), "email_id")
+
+
+def write_audit(verified: DataFrame, emails: DataFrame, path: str, problems_only: bool = False, seconds: float = 0.0) -> Audit:
     """Writes the report of all decisions, or of those that aren't OK; emails without a decision are an error.
 
     Sections come in id order and are streamed to the file, never held together."""
-    known = decisions.join(emails.select("email_id"), "email_id", "left_semi")
-    if emails.join(decisions, "email_id", "left_anti").limit(1).count():
-        raise ValueError("there are emails without a decision")
-    shown, ids = report.problems(known) if problems_only else known, []
-    sections = report.explain(shown, emails, comparisons).orderBy("email_id")
+    known, ids = report.decided(verified, emails), []
+    lacking = [r[0] for r in report.undecided(emails, verified).select("email_id").orderBy("email_id").limit(5).collect()]
+    if lacking:
+        raise ValueError(f"there are emails without a decision: {lacking}")
+    shown = report.problems(known) if problems_only else known
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
-        f.write("<!doctype html><meta charset=utf-8><title>Decision audit</title><h1>Decision audit</h1><table>")
-        for name, value in report.metrics(known).first().asDict().items():
-            f.write(f"<tr><th>{name}<td>{value}")
-        for column, labels in (("category", v.CATEGORIES), ("status", v.STATUSES), ("review_reason", v.REVIEW_REASONS)):
-            for r in report.distribution(known, column, labels, zeros=True).orderBy("ord").collect():  # a row per label
-                f.write(f"<tr><th>{column}: {r['label']}<td>{r['n']}")
-        f.write("</table>")
-        for r in sections.toLocalIterator():
+        f.write("<!doctype html><meta charset=utf-8><title>Decision audit</title><h1>Decision audit</h1><h2>Summary</h2>")
+        m = report.metrics(known, seconds).first()
+        scope = "Problem decisions only" if problems_only else "All processed email decisions"
+        f.write(_table([], [("Emails processed", m["processed"]), ("Emails in this report", shown.count()), ("Scope", scope), ("Runtime", f"{m['runtime_seconds']:.2f} seconds"), ("Throughput", f"{m['throughput']:.2f} emails/sec"),
+                            ("Comparisons", m["comparisons"]), ("OK", m["ok"]), ("MISMATCH", m["mismatch"]), ("NEEDS_REVIEW", m["needs_review"])]))
+        of = lambda c, names, zeros: [(r["label"], r["n"]) for r in report.distribution(known, c, names, zeros).orderBy("ord").collect()]  # noqa: E731  (a row per label)
+        f.write(_table(["Category", "Count"], of("category", v.CATEGORIES, True)) + _table(["Review reason", "Count"], of("review_reason", sorted(v.REVIEW_REASONS), False) or [("None", 0)]))
+        for r in sections(shown).orderBy("email_id").toLocalIterator():
             ids.append(r["email_id"])
-            f.write(f"<h2>{escape(r['email_id'])}</h2><pre>{escape(r['explanation'])}</pre>")
+            f.write(f"<h2>Email audit: {escape(r['email_id'])}</h2>" + _table([], [("Email ID", r["email_id"]), ("Subject", r["subject"]), ("Category", r["category"]), ("Evidence", r["evidence"])]))
+            f.write(_table(["Attachment", "Detected type", "Evidence", "Source format", "Extraction"], r["files"] or [("No attachments", "-", "-", "-", "-")]))
+            if r["fields"]:
+                f.write(_table(["Field", "SI raw", "BL raw", "SI normalized", "BL normalized", "Result"], r["fields"]))
+            f.write(_table([], [("Final status", r["status"]), ("Defect fields", r["defects"]), ("Review reason", r["reason"])]) + f"<pre>{escape(r['explanation'])}</pre>")
+        if not ids:
+            f.write("<p>No MISMATCH or NEEDS_REVIEW decisions were included.")
     return Audit(path, ids)

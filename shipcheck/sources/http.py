@@ -3,42 +3,22 @@
 from __future__ import annotations
 
 import json
-from urllib.parse import urljoin
 from urllib.request import Request, urlopen
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
-from .bundle import attachment_refs, decode_attachments, email_items, email_rows
-
-TIMEOUT = 20
-
-
-def _bytes(url: str) -> bytes:
-    with urlopen(url, timeout=TIMEOUT) as r:
-        return r.read()
+from .bundle import attachment_index, attachment_refs, checked, decode_attachments, email_items, email_rows
+from .fetch import TIMEOUT, fetched, get
 
 
 def read_inbox(spark: SparkSession, url: str) -> tuple[DataFrame, DataFrame]:
     """emails and decoded attachments of a JSON payload; attachments are fetched by the executors,
     from absolute addresses or relative to the payload's.  A failed fetch leaves an unreadable row."""
-    payload = spark.createDataFrame([(_bytes(url).decode("utf-8"),)], "value string")
-    emails = email_rows(email_items(payload))
-
-    @F.pandas_udf(BinaryType())
-    def fetch(sources: pd.Series) -> pd.Series:
-        def one(s):
-            try:
-                return None if s is None else _bytes(urljoin(url, s))
-            except (OSError, ValueError):
-                return None
-
-        return sources.map(one)
-
-    refs = attachment_refs(emails)
-    return emails.drop("refs"), decode_attachments(refs.withColumn("content", fetch(F.when(F.col("inline").isNull(), F.col("source")))))
+    payload = spark.createDataFrame([(get(url).decode("utf-8"),)], "value string")
+    emails = checked(email_rows(email_items(payload)))
+    refs = attachment_refs(emails, attachment_index(payload))
+    return emails.drop("refs", "ids"), decode_attachments(refs.withColumn("content", fetched(F.when(F.col("inline").isNull(), F.col("source")), url)))
 
 
 def submit(payload: dict, base: str) -> object:

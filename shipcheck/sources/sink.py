@@ -5,10 +5,14 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import vocab as v
-from ..operators.report import violations
+from ..operators.report import id_differences, violations
+
+REQUIRED = set(v.TEMPLATE_KEYS) - {"email_id"}
+_ROW = "email_id string, category string, status string, has_defect boolean, defect_fields array<string>, review_reason string"
 
 
 class SubmissionError(ValueError):
@@ -19,10 +23,14 @@ def meaning(key: str) -> str | None:
     return next((name for name, keys in v.TEMPLATE_KEYS.items() if key.lower() in keys), None)
 
 
-def known_keys(shape) -> set[str]:
-    if isinstance(shape, dict):
-        return {m for k in shape if (m := meaning(k))}.union(*map(known_keys, shape.values()))
-    return set().union(*map(known_keys, shape)) if isinstance(shape, list) else set()
+def told(entry) -> dict:
+    """What an entry says under its recognised keys, at any depth; of several the last counts."""
+    out: dict = {}
+    for key, child in entry.items() if isinstance(entry, dict) else ((None, x) for x in entry) if isinstance(entry, list) else ():
+        if key is not None and meaning(key):
+            out[meaning(key)] = child
+        out |= told(child)
+    return out
 
 
 def rendered(shape, values: dict):
@@ -33,29 +41,56 @@ def rendered(shape, values: dict):
 
 
 def load_template(path: str) -> dict:
+    """A template is a JSON object of objects by email id, small enough for the driver; its first entry must have all required keys."""
     template = json.loads(Path(path).read_text(encoding="utf-8"))
     if not isinstance(template, dict) or not template or not all(isinstance(x, dict) for x in template.values()):
         raise SubmissionError("a template is an object of objects by id")
-    if lacking := set(v.TEMPLATE_KEYS) - {"email_id"} - known_keys(next(iter(template.values()))):
+    if lacking := REQUIRED - set(told(next(iter(template.values())))):
         raise SubmissionError(f"the template lacks {sorted(lacking)}")
     return template
 
 
+def _held(bad: list, what: str) -> None:
+    if bad:
+        raise SubmissionError(f"{what}: {[tuple(r) for r in bad]}")
+
+
 def build_submission(decisions: DataFrame, template: dict) -> dict:
-    """The payload, in template order; the ids of both must agree and every decision must hold its invariants."""
-    if (bad := violations(decisions).limit(5).collect()):
-        raise SubmissionError(f"invalid decisions: {[tuple(r) for r in bad]}")
-    rows = {r["email_id"]: r.asDict() for r in decisions.select("email_id", "category", "status", "has_defect", "defect_fields", "review_reason").collect()}
-    missing, unknown = sorted(set(template) - set(rows))[:5], sorted(set(rows) - set(template))[:5]
-    if missing or unknown:
-        raise SubmissionError(f"ids differ; missing {missing}, unknown {unknown}")
-    return {i: rendered(shape, rows[i]) for i, shape in template.items()}
+    """The payload, in template order; the ids of both must agree, and what is rendered must hold all invariants."""
+    spark = decisions.sparkSession
+    expected = spark.createDataFrame([(i,) for i in template], "email_id string")
+    _held(id_differences(expected, decisions, 5).collect(), "ids differ")
+    rows = {r["email_id"]: r.asDict() for r in decisions.join(expected, "email_id").select("email_id", *sorted(REQUIRED)).collect()}  # as many as the template has
+    payload = {i: rendered(shape, rows[i]) for i, shape in template.items()}
+    validate_submission(spark, payload, list(template))
+    return payload
+
+
+def validate_submission(spark: SparkSession, payload: dict, expected_ids: list[str]) -> None:
+    """Checks a payload by itself: its ids, that every entry says all that is required, and every invariant."""
+    if set(payload) != set(expected_ids):
+        raise SubmissionError("the payload's ids are not the expected ones")
+    rows = []
+    for i, entry in payload.items():
+        said = told(entry)
+        if lacking := REQUIRED - set(said):
+            raise SubmissionError(f"{i} lacks {sorted(lacking)}")
+        if not isinstance(said["has_defect"], bool) or not isinstance(said["defect_fields"], list):
+            raise SubmissionError(f"{i}: has_defect is a boolean, defect_fields a list")
+        rows.append((i, said["category"], said["status"], said["has_defect"], said["defect_fields"], said["review_reason"]))
+    _held(violations(spark.createDataFrame(rows, _ROW)).limit(5).collect(), "invalid decisions")
+
+
+def in_template_order(decisions: DataFrame, template_ids: DataFrame) -> DataFrame:
+    """Decisions of the ids of template_ids (email_id, pos), sorted by pos under one range exchange: the bulk form of a submission."""
+    return decisions.join(template_ids, "email_id").orderBy("pos").drop("pos")
 
 
 def write_submission(payload: dict, path: str) -> None:
+    """Indented JSON with a final line feed; the bytes don't depend on the platform."""
     to = Path(path)
     to.parent.mkdir(parents=True, exist_ok=True)
-    to.write_text(json.dumps(payload, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
+    to.write_text(json.dumps(payload, indent=2, ensure_ascii=False) + "\n", encoding="utf-8", newline="\n")
 
 
 def write_decisions(decisions: DataFrame, path: str) -> None:

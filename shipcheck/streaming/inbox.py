@@ -1,4 +1,4 @@
-"""Continuous inboxes: the same row-level operators on a stream of JSON files."""
+"""Continuous inboxes: new JSON files are decided batch by batch, by the same operators as whole inboxes."""
 
 from __future__ import annotations
 
@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.classify import classify
-from ..sources.bundle import email_items, email_rows
+from ..operators.decide import verify
+from ..sources.bundle import read_payloads
 
 
-def email_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Emails of every new file; one row per email."""
-    return email_rows(email_items(spark.readStream.format("text").option("wholetext", "true").load(folder))).drop("refs")
+def verify_stream(spark: SparkSession, bundle: str, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Verifies the emails of every new file in <bundle>/inbox, attachments included; each batch goes to sink(verified, number).
 
+    An email's attachments must lie in the bundle when its JSON file arrives."""
+    payloads = spark.readStream.format("text").option("wholetext", "true").option("pathGlobFilter", "*.json").load(f"{bundle}/inbox")
 
-def classify_stream(spark: SparkSession, folder: str, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Classifies new emails, each batch handed to sink(batch, number)."""
-    return classify(email_stream(spark, folder)).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def batch(rows: DataFrame, number: int) -> None:
+        emails, attachments = read_payloads(rows.sparkSession, rows, bundle, True)
+        sink(verify(emails, attachments), number)
+
+    return payloads.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -27,6 +27,9 @@ INLINE_TEXT_KEYS = ["content", "text", "plain_text", "plainText"]
 BASE64_KEYS = ["content_base64", "base64", "data_base64"]
 TYPE_HINT_KEYS = ["document_type", "type", "kind", "content_type", "mime_type"]
 WRAPPER_KEYS = ["emails", "inbox", "messages", "data"]
+INDEX_KEYS = ["id", "attachment_id", "path", "filename", "name"]
+OFFICE_SUFFIXES = [".docx", ".xlsx", ".xlsm", ".pdf"]
+TEMPLATE_NAME = "sample_submission.json"
 DEFAULT_FILENAME = "unnamed_attachment.txt"
 
 # --- fixed values: classification terms (folded, in report order)
