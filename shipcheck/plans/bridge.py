@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import io
+import zipfile
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 TABLES = ["orders", "customer", "nation", "supplier", "lineitem"]
 
@@ -81,3 +87,39 @@ def emails_and_attachments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame,
     facts(spark, sf_dir).createOrReplaceTempView("facts")
     extra = "cast(null as string) as type_hint, cast('text' as string) as extraction, cast(null as string) as read_error"
     return spark.sql(EMAILS), spark.sql(f"select *, {extra} from ({ATTACHMENTS})")
+
+
+def _zipped(parts: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def office_bytes(kind: str, name: str) -> bytes:
+    """A small document that names a consignee; any other kind is a broken file."""
+    if kind == ".docx":
+        w, p = "http://schemas.openxmlformats.org/wordprocessingml/2006/main", "<w:p><w:r><w:t>{}</w:t></w:r></w:p>"
+        row = "".join(f"<w:tc>{p.format(x)}</w:tc>" for x in ("Consignee", name))
+        return _zipped({"word/document.xml": f'<w:document xmlns:w="{w}"><w:body>{p.format("Title")}<w:tbl><w:tr>{row}</w:tr></w:tbl></w:body></w:document>'})
+    if kind == ".xlsx":
+        s, r = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+        cells = "".join(f'<c t="inlineStr"><is><t>{x}</t></is></c>' for x in ("Consignee", name))
+        return _zipped({
+            "xl/workbook.xml": f'<workbook xmlns="{s}" xmlns:r="{r}"><sheets><sheet name="One" sheetId="1" r:id="r1"/></sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/s1.xml"/></Relationships>', "xl/worksheets/s1.xml": f'<worksheet xmlns="{s}"><sheetData><row>{cells}</row></sheetData></worksheet>',
+        })
+    if kind == ".pdf":
+        content = f"BT /F1 12 Tf (Consignee: {name}) Tj ET"
+        objects = ["<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids [3 0 R] /Count 1 >>", "<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>", f"<< /Length {len(content)} >>\nstream\n{content}\nendstream"]
+        return ("%PDF-1.4\n" + "".join(f"{i} 0 obj\n{o}\nendobj\n" for i, o in enumerate(objects, 1))).encode()
+    return b"broken"
+
+
+def office_file(kind: Column, name: Column) -> Column:
+    @F.pandas_udf(BinaryType())
+    def made(kinds: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([office_bytes(k, n) for k, n in zip(kinds, names, strict=True)])
+
+    return made(kind, name)

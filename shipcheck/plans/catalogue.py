@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import vocab as v
 from ..functions import text as t
 from ..operators import classify, decide, extract, identify, report
+from ..sources import bundle, decode
 from . import bridge
 
 _QUERIES: dict[str, Callable] = {}
@@ -193,7 +194,7 @@ def e8_distribution(spark, sf):
 
 @query("select distinct o_orderpriority as label from orders")
 def e11_distinct(spark, sf):
-    return _table(spark, sf, "orders").select(F.col("o_orderpriority").alias("label")).distinct().orderBy("label")
+    return report.labels(_table(spark, sf, "orders"), "o_orderpriority")
 
 
 @query(bridge.oracle("select email_id, category, status, cast(case status when 'NEEDS_REVIEW' then 0 when 'MISMATCH' then 1 when 'OK' then 2 else 3 end as int) as rank from expected order by 4, 1 limit 8", _E))
@@ -251,17 +252,19 @@ def d3_id_differences(spark, sf):
 
 @query("select o_orderkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)")
 def d2_without_decision(spark, sf):
-    return _table(spark, sf, "orders").join(_table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+    emails, decisions = _table(spark, sf, "orders").withColumnRenamed("o_orderkey", "email_id"), _table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "email_id")
+    return report.undecided(emails, decisions).select(F.col("email_id").alias("o_orderkey"))
 
 
 @query("select o_orderkey from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity > 49)")
 def d5_processed_only(spark, sf):
-    return _table(spark, sf, "orders").join(_table(spark, sf, "lineitem").where("l_quantity > 49"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey")
+    emails, decisions = _table(spark, sf, "orders").withColumnRenamed("o_orderkey", "email_id"), _table(spark, sf, "lineitem").where("l_quantity > 49").withColumnRenamed("l_orderkey", "email_id")
+    return report.decided(emails, decisions).select(F.col("email_id").alias("o_orderkey"))
 
 
 @query("select o_custkey, count(*) as n from orders group by 1 having count(*) > 1")
 def e10_duplicates(spark, sf):
-    return _table(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return report.duplicates(_table(spark, sf, "orders"), "o_custkey")
 
 
 # --- text functions over the driver's texts
@@ -294,7 +297,8 @@ def f8_current_body(spark, sf):
 
 @query("select doc_id, length(left(text, 500)) as n500, length(left(text, 2000)) as n2000 from documents")
 def f9_caps(spark, sf):
-    return _spread(_table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.length(F.left("text", F.lit(500))).cast("long").alias("n500"), F.length(F.left("text", F.lit(2000))).cast("long").alias("n2000"))
+    return _spread(_table(spark, sf, "documents").select("doc_id", "text")).withColumns({"filename": F.lit("f"), "type_hint": F.lit(None).cast("string")}).select(
+        "doc_id", F.when(F.col("text").isNotNull(), F.length(classify.signal("text")) - 2).cast("long").alias("n500"), F.length(F.left("text", F.lit(2000))).cast("long").alias("n2000"))
 
 
 @query("select page_id, length(regexp_replace(html, '[^A-Za-z0-9]+', '', 'g')) >= 8 as usable from pages")
@@ -355,12 +359,16 @@ def h30_decimal(spark, sf):
 
 @query("select event_id, json_extract_string(props, '$.k') as k from events")
 def h46_json(spark, sf):
-    return _table(spark, sf, "events").select("event_id", F.expr("try_variant_get(try_parse_json(props), '$.k', 'string')").alias("k"))
+    e = _table(spark, sf, "events").select("event_id", "props")
+    items = bundle.email_items(e.select(F.concat(F.lit('[{"id": "'), "event_id", F.lit('", "p": '), "props", F.lit("}]")).alias("value")))
+    return items.select(F.expr("try_variant_get(email, '$.id', 'bigint')").alias("event_id"), F.expr("try_variant_get(email, '$.p.k', 'string')").alias("k"))
 
 
 @query("select c_custkey, c_name as text from customer")
 def h47_base64(spark, sf):
-    return _table(spark, sf, "customer").select("c_custkey", F.expr("make_valid_utf8(cast(try_to_binary(base64(cast(c_name as binary)), 'base64') as string))").alias("text"))
+    c = _table(spark, sf, "customer").select(F.format_string('[{"id": "%d", "files": {"content_base64": "%s"}}]', "c_custkey", F.base64(F.col("c_name").cast("binary"))).alias("value"))
+    c = bundle.attachment_refs(bundle.email_rows(bundle.email_items(c.select(F.replace("value", F.lit('"files": {'), F.lit('"files": {"f": {')).alias("v0")).select(F.replace("v0", F.lit('"}}]'), F.lit('"}}}]')).alias("value")))))
+    return c.select(F.col("email_id").cast("long").alias("c_custkey"), F.col("inline").alias("text"))
 
 
 @query("select c_custkey, case when length(c_name) > 12 then left(c_name, 11) || '…' else c_name end as shown from customer")
@@ -373,6 +381,145 @@ def i9_submission(spark, sf):
     return _decisions(spark, sf).select("email_id", F.to_json(F.struct("email_id", "category", "has_defect", "defect_fields")).alias("payload"))
 
 
+# --- sources: JSON and files made of the star tables, read back
+
+
+def _payloads(spark, sf):
+    """A JSON text per order, in four shapes by o_orderkey % 4."""
+    shapes = [
+        '{"email_id": "e%1$d", "subject": "S %1$d", "body": "B", "from": "c", "attachments": ["a.txt", "b.txt"]}', '[{"id": "e%1$d", "title": "S %1$d", "text": "B", "sender": "c", "files": {"x": "a.txt"}}]',
+        '{"messages": [{"messageId": "e%1$d", "subject": "S %1$d", "content": "B", "fromAddress": "c", "si_path": "a.txt", "bl_path": "b.txt"}]}', '{"e%1$d": {"subject": "S %1$d", "message": "B", "from_address": "c", "attachment_ids": ["i1", "i2"]}}',
+    ]
+    k = F.col("o_orderkey")
+    value = F.format_string(shapes[3], k)
+    for i in (2, 1, 0):
+        value = F.when(k % 4 == i, F.format_string(shapes[i], k)).otherwise(value)
+    return _table(spark, sf, "orders").select(value.alias("value"))
+
+
+@query("select 'e' || o_orderkey as email_id, 'S ' || o_orderkey as subject, 'B' as body, 'c' as sender, cast(case o_orderkey % 4 when 1 then 1 when 3 then 0 else 2 end as int) as n_refs, cast(case o_orderkey % 4 when 3 then 2 else 0 end as int) as n_ids from orders")
+def a6_email_shapes(spark, sf):
+    return bundle.email_rows(bundle.email_items(_payloads(spark, sf), single=True)).select("email_id", "subject", "body", "sender", F.size("refs").alias("n_refs"), F.size("ids").alias("n_ids"))
+
+
+@query("""select 'e' || o_orderkey as email_id, cast(p as int) as att_pos, case p when 0 then 'f' || o_orderkey || '.txt' when 1 then 'g.pdf' else 'h' || o_orderkey || '.txt' end as filename,
+  case p when 0 then 'f' || o_orderkey || '.txt' when 1 then 'g.pdf' else 'dir/h' || o_orderkey || '.txt' end as source, case when p < 2 then 't ' || o_orderkey end as inline, case when p = 1 then 'SI' end as type_hint
+  from orders, (select unnest([0, 1, 2]) as p)""")
+def a23_attachment_refs(spark, sf):
+    k = F.col("o_orderkey")
+    text = F.format_string('[{"id": "e%d", "attachments": [{"filename": "f%d.txt", "content": "t %d"}, {"name": "g.pdf", "content_base64": "%s", "type": "SI"}, "dir/h%d.txt"]}]', k, k, k, F.base64(F.concat(F.lit("t "), k.cast("string")).cast("binary")), k)
+    emails = bundle.email_rows(bundle.email_items(_table(spark, sf, "orders").select(text.alias("value"))))
+    return bundle.attachment_refs(emails).select("email_id", "att_pos", "filename", "source", "inline", "type_hint")
+
+
+@query("""select 'e' || o_orderkey as email_id, cast(p as int) as att_pos, case when s_name is null then 'A' || (o_custkey % 7) else 's' || s_suppkey || '.txt' end as filename, s_name as inline
+  from orders cross join (select unnest([0, 1]) as p) left join supplier on s_suppkey = o_custkey % 7""")
+def d7_attachment_index(spark, sf):
+    entries = _table(spark, sf, "supplier").where("s_suppkey < 7").select(F.format_string('{"attachments": [{"id": "A%d", "filename": "s%d.txt", "content": "%s"}]}', "s_suppkey", "s_suppkey", "s_name").alias("value"))
+    key = F.col("o_custkey") % 7
+    mails = _table(spark, sf, "orders").select(F.format_string('[{"id": "e%d", "attachments": ["A%d"], "attachment_ids": ["A%d"]}]', "o_orderkey", key, key).alias("value"))
+    return bundle.attachment_refs(bundle.email_rows(bundle.email_items(mails)), bundle.attachment_index(entries)).select("email_id", "att_pos", "filename", "inline")
+
+
+@query("select 'e' || o_orderkey as email_id, cast(0 as int) as att_pos, case when o_orderkey % 5 < 4 then 'text ' || o_orderkey end as text from orders")
+def a12_candidate_paths(spark, sf):
+    o, k = _table(spark, sf, "orders"), F.col("o_orderkey")
+    path = F.format_string("/b/attachments/f%d.txt", k)
+    files = o.select(F.concat(F.lit("file://"), path).alias("path"), F.concat(F.lit("text "), k.cast("string")).cast("binary").alias("content"))
+    source = F.when(k % 5 == 0, F.format_string("f%d.txt", k)).when(k % 5 == 1, F.format_string("x/y/f%d.txt", k)).when(k % 5 == 2, path).when(k % 5 == 3, F.format_string("attachments/f%d.txt", k)).otherwise(F.format_string("gone%d.txt", k))
+    refs = o.select(F.concat(F.lit("e"), k.cast("string")).alias("email_id"), F.lit(0).alias("att_pos"), source.alias("source"), F.lit(None).cast("string").alias("inline"), F.lit(None).cast("binary").alias("encoded"))
+    return bundle.resolve(refs, files, ["/b"]).select("email_id", "att_pos", F.col("content").cast("string").alias("text"))
+
+
+@query("select o_orderkey, case o_orderkey % 4 when 0 then 'a.txt' when 1 then null when 2 then 'p.txt' else 'b/c.txt' end as path from orders")
+def c18_contained_paths(spark, sf):
+    source = F.get(F.array(*map(F.lit, ["attachments/x/../a.txt", "x/../../q", "/etc/p.txt", "./b//c.txt"])), (F.col("o_orderkey") % 4).cast("int"))
+    return _table(spark, sf, "orders").select("o_orderkey", bundle.contained(source).alias("path"))
+
+
+@query("select c_custkey, c_name || chr(65533) || chr(10) || 'x' || chr(10) || 'y' as text, 'plain text' as extraction, cast(null as varchar) as error from customer")
+def a14_text_decode(spark, sf):
+    data = F.concat(F.col("c_name").cast("binary"), F.unhex(F.lit("FF0D0A780D79")))
+    return _table(spark, sf, "customer").select("c_custkey", decode.decode(data, F.lit(".txt")).alias("d")).select("c_custkey", "d.text", "d.extraction", "d.error")
+
+
+@query("""select c_custkey, case c_custkey % 4 when 0 then 'Title' || chr(10) || 'Consignee' || chr(9) || c_name when 1 then '[Worksheet: One]' || chr(10) || 'Consignee' || chr(9) || c_name when 2 then 'Consignee: ' || c_name else '' end as text,
+  case c_custkey % 4 when 0 then 'DOCX text' when 1 then 'XLSX cells' when 2 then 'embedded text' else 'unreadable' end as extraction, c_custkey % 4 = 3 as failed from customer""")
+def a24_decoded_formats(spark, sf):
+    kind = F.get(F.array(*map(F.lit, [".docx", ".xlsx", ".pdf", ".xlsm"])), (F.col("c_custkey") % 4).cast("int"))
+    d = _table(spark, sf, "customer").select("c_custkey", kind.alias("k"), bridge.office_file(kind, F.col("c_name")).alias("data"))
+    return d.select("c_custkey", decode.decode(F.col("data"), F.col("k")).alias("d")).select("c_custkey", "d.text", "d.extraction", F.col("d.error").isNotNull().alias("failed"))
+
+
+# --- more decisions and reports
+
+
+@query(bridge.oracle("select email_id, status, case when review_reason = 'missing_value' and k % 2 = 0 then 'unreadable' else review_reason end as review_reason from expected", _E))
+def c9_ocr_gate(spark, sf):
+    emails, attachments = bridge.emails_and_attachments(spark, sf)
+    scanned = attachments.withColumn("extraction", F.when(F.substring("email_id", 7, 8).cast("long") % 2 == 0, "OCR").otherwise("text"))
+    return decide.decide(emails, scanned).select("email_id", "status", "review_reason")
+
+
+@query(bridge.oracle("""select email_id, case when tm not in (0, 6, 7, 8, 9) then 'missing_attachment' when k % 3 = 0 then case when dm = 8 then 'unreadable' else 'wrong_doc_type' end
+  when dm = 9 then 'missing_attachment' when dm in (7, 10) then 'wrong_doc_type' when dm = 8 then 'unreadable' end as review_reason from facts"""))
+def f3_ties_are_no_choice(spark, sf):
+    emails, attachments = bridge.emails_and_attachments(spark, sf)
+    twice = attachments.where(F.substring("email_id", 7, 8).cast("long") % 3 == 0).withColumn("att_pos", F.col("att_pos") + 2)
+    return identify.select_documents(emails, identify.assess(attachments.unionByName(twice))).select("email_id", "review_reason")
+
+
+@query(bridge.oracle("select count(*) as processed, count(*) filter (category = 'BL_COMPARISON') as comparisons, count(*) filter (status = 'OK') as ok, count(*) filter (status = 'MISMATCH') as mismatch, count(*) filter (status = 'NEEDS_REVIEW') as needs_review, cast(2.5 as double) as runtime_seconds, round(count(*) / 2.5, 2) as throughput from expected", _E))
+def e4_throughput(spark, sf):
+    return report.metrics(_decisions(spark, sf), 2.5)
+
+
+@query(bridge.oracle("""select email_id, att_pos, filename, upper(regexp_extract(filename, '[^.]*$')) as source_format, 'text' as extraction, case when tm in (0, 6, 7, 8, 9) then case when att_pos = 0 or dm = 10 then 'SI' when dm = 7 then 'OTHER' else 'BL' end end as detected_type
+  from attachments_v join facts using (email_id)""", "attachments_v"))
+def b12_attachment_items(spark, sf):
+    return report.attachment_items(_verified(spark, sf)).select("email_id", "att_pos", "filename", "source_format", "extraction", "detected_type")
+
+
+@query(bridge.oracle("""select email_id, subject, case review_reason when 'missing_attachment' then 'Missing Attachment' when 'wrong_doc_type' then 'Wrong Doc Type' when 'missing_value' then 'Missing Value' else 'Unreadable' end as reason,
+  coalesce(i.issue, 'No attachments were available') as issue from expected join emails_v using (email_id) left join (select email_id, string_agg(filename || ': text', ' · ' order by att_pos) as issue from attachments_v group by 1) i using (email_id) where status = 'NEEDS_REVIEW'""", _E, "emails_v", "attachments_v"))
+def f13_review_cards(spark, sf):
+    return report.review_cards(report.review_queue(_verified(spark, sf))).select("email_id", "subject", "reason", "issue")
+
+
+@query(bridge.oracle("""select email_id, status as final_status, case when tm in (0, 6, 7, 8, 9) and dm <= 6 then 'doc_' || k || '_SI.txt' end as si, case when tm in (0, 6, 7, 8, 9) and dm <= 6 then containers || ' x 40HC' end as si_containers,
+  case when tm in (0, 6, 7, 8, 9) and dm <= 6 then cast(weight * 1000 as varchar) end as bl_weight from expected e join (select email_id, containers, weight from facts) f using (email_id)""", _E))
+def b8_diagnostics(spark, sf):
+    at = lambda p: F.get_json_object("record", p)
+    return report.diagnostics(_verified(spark, sf)).select(
+        "email_id", at("$.final_status").alias("final_status"), at("$.selected_documents.si").alias("si"), at("$.fields_extracted.si.container_count").alias("si_containers"), at("$.normalized_values.bl.gross_weight_kg").alias("bl_weight"))
+
+
+@query("select l_orderkey, l_linenumber, case l_linenumber % 3 when 0 then null when 1 then cast(cast(l_quantity as bigint) as varchar) || '500' else cast(cast(l_quantity as bigint) * 1000 as varchar) end as kg from lineitem")
+def h31_unicode_blanks(spark, sf):
+    q, m = F.col("l_quantity").cast("long").cast("string"), F.col("l_linenumber") % 3
+    raw = F.when(m == 0, F.concat(q, F.lit("\u00a0500 KG"))).when(m == 1, F.concat(q, F.lit("500\u202fKG"))).otherwise(F.concat(F.lit("\u2003"), q, F.lit("\u00a0metric\u202ftons")))
+    return _spread(_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")).select("l_orderkey", "l_linenumber", t.normalize_weight(raw).alias("kg"))
+
+
+@query("select o_orderkey, case o_orderkey % 4 when 0 then 'SI' when 1 then 'BL' when 2 then 'OTHER' else null end as document_type from orders")
+def i3_unicode_titles(spark, sf):
+    title = F.get(F.array(*map(F.lit, ["SHIPPING\u00a0INSTRUCTION", "BILL\u202fOF\u00a0LADING", "\u2003Packing\u00a0List", "x\u00a0y"])), (F.col("o_orderkey") % 4).cast("int"))
+    none = F.lit(None).cast("string")
+    return identify.assess(_table(spark, sf, "orders").select("o_orderkey", title.alias("content"), F.lit("a.txt").alias("filename"), none.alias("type_hint"), none.alias("read_error"))).select("o_orderkey", "document_type")
+
+
+@query("select n_nationkey, replace(n_name, '_', ' ') as shown, case when n_nationkey % 2 = 0 then '250 ms' else '2.50 s' end as duration, case when n_nationkey % 2 = 0 then '3 KB' else '4.77 MB' end as size from nation")
+def h16_for_people(spark, sf):
+    even = F.col("n_nationkey") % 2 == 0
+    return _table(spark, sf, "nation").select("n_nationkey", t.humanize(F.col("n_name")).alias("shown"), t.show_duration(F.when(even, 0.25).otherwise(2.5)).alias("duration"), t.show_bytes(F.when(even, 3000).otherwise(5_000_000)).alias("size"))
+
+
+@query("select p_partkey, case p_partkey % 5 when 0 then 'si' when 1 then 'bl' when 2 then 'si' else null end as kind from part")
+def h11_titled_kind(spark, sf):
+    content = F.get(F.array(*map(F.lit, ["Shipping\u00a0Instruction", "Ocean Bill", "Bill of Lading Instruction", "SI and BOL", "Packing list"])), (F.col("p_partkey") % 5).cast("int"))
+    return _table(spark, sf, "part").select("p_partkey", extract.titled_kind(content, F.lit("a.txt")).alias("kind"))
+
+
 @query()
 def i11_explain(spark, sf):
     return report.explain(_verified(spark, sf))
