@@ -520,7 +520,33 @@ def h11_titled_kind(spark, sf):
     return _table(spark, sf, "part").select("p_partkey", extract.titled_kind(content, F.lit("a.txt")).alias("kind"))
 
 
-@query()
+def _explanation_sql() -> str:
+    norm = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
+    n, tick = "chr(10)", "chr(10) || '✓ '"
+    bl_pod = f"case when dm = 3 then 'elsewhere' else {norm('port_b')} end"
+    bl_boxes = "cast(containers + case when dm = 2 then 1 else 0 end as varchar)"
+    sides = {
+        "shipper": (norm("shipper"),) * 2, "consignee": (norm("consignee"),) * 2, "notify_party": (norm("consignee"),) * 2, "port_of_loading": (norm("port_a"),) * 2, "port_of_discharge": (norm("port_b"), bl_pod),
+        "container_count": ("cast(containers as varchar)", bl_boxes), "gross_weight_kg": ("cast(weight * 1000 as varchar)",) * 2,
+    }
+    rows = ", ".join(f"rpad('{f}', 22, ' ') || ' ' || rpad({a}, 29, ' ') || ' ' || rpad({b}, 29, ' ') || ' ' || case when {a} = {b} then 'MATCH' else 'MISMATCH' end" for f, (a, b) in sides.items())
+    head = f"{'Field':<22} {'SI':<29} {'BL':<29} Result"
+    differs = " ".join(f"when '{f}' then 'SI = ' || {a} || {n} || 'BL = ' || {b}" for f, (a, b) in sides.items())
+    why = f"'✓ ' || replace(replace(replace(replace(reasons, '; ', {tick}), 'SI signal', 'SI detected'), 'BL signal', 'BL detected'), 'action: compare', 'comparison wording detected (compare)')"
+    shown = "a.reasons"
+    for title in ("shipping instruction", "bill of lading", "invoice"):
+        shown = f"replace({shown}, 'content heading: {title}', 'heading: {title.upper()}')"
+    block = f"array_to_string(['Attachment: ' || v.filename, 'Detected type: ' || a.document_type, 'Source format: ' || upper(regexp_extract(v.filename, '[^.]*$')), 'Extraction: text', 'Evidence:', '✓ ' || replace({shown}, '; ', {tick})], {n})"
+    files = f"select v.email_id, string_agg({block}, {n} || {n} order by v.att_pos) as files from attachments_v v join ({_ASSESSED}) a on a.email_id = v.email_id and a.att_pos = v.att_pos group by 1"
+    return f"""select email_id, array_to_string(['EMAIL: ' || email_id, 'Subject: ' || subject, '', 'CLASSIFICATION', 'Decision: ' || category, '', 'Why:',
+  case when reasons = '' then '✓ no category-specific rule signal; default GENERAL rule applied' else {why} end, '', 'DOCUMENT IDENTIFICATION', '', coalesce(files, 'No attachments found.'), '', 'FIELD COMPARISON', '',
+  case when status in ('OK', 'MISMATCH') then array_to_string(['{head}', '{"-" * 89}', {rows}], {n}) else 'No safe field comparison was performed.' end, '', 'FINAL DECISION', '', coalesce(status, 'Not applicable'),
+  case status when 'OK' then {n} || 'Reason:' || {n} || 'all seven required fields match after normalization' when 'NEEDS_REVIEW' then {n} || 'Reason:' || {n} || review_reason
+    when 'MISMATCH' then array_to_string(['', 'Defect fields:', '- ' || defect_fields, '', 'Reason:', defect_fields || ' differs after normalization', case defect_fields {differs} end], {n}) end], {n}) as explanation
+  from (select e.email_id, e.category, e.status, e.defect_fields, e.review_reason, e.reasons, m.subject, fs.files, f.* exclude (email_id) from expected e join emails_v m using (email_id) join facts f using (email_id) left join ({files}) fs using (email_id))"""
+
+
+@query(bridge.oracle(_explanation_sql(), _E, "emails_v", "attachments_v"))
 def i11_explain(spark, sf):
     return report.explain(_verified(spark, sf))
 
