@@ -85,7 +85,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, threshol
 
     A rule `host/path` fits its host and all its subdomains where the url's path begins with the
     rule's path; the longest rule wins.  Where none fits, the regression decides (block from
-    `threshold` on).  Null and odd urls have empty host and path and are scored like any other;
+    `threshold` on; elsewhere the score is null).  Null and odd urls have empty host and path and are scored like any other;
     repeated rows give repeated results.  Row-wise: no shuffle, the html is never read."""
     host, path = host_path(F.col("url"))
     rows = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
@@ -98,7 +98,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, threshol
 
     @F.pandas_udf("double")
     def scored(h: pd.Series, p: pd.Series) -> pd.Series:
-        return pd.Series([score(a, b, weight, bias) for a, b in zip(h, p, strict=True)])
+        return pd.Series([None if a is None else score(a, b, weight, bias) for a, b in zip(h, p, strict=True)], dtype="float64")
 
-    rows = rows.withColumn("rule", rule).withColumn("_says", verdict).withColumn("score", scored("host", "path"))
+    rows = rows.withColumn("rule", rule).withColumn("_says", verdict)
+    rows = rows.withColumn("score", scored(F.when(F.col("_says").isNull(), F.col("host")), F.col("path")))
     return rows.select("page_id", "host", "path", "rule", F.coalesce("_says", F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict"), "score")
