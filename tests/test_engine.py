@@ -276,6 +276,13 @@ def test_inbox_shapes(spark, tmp_path):
         bundle.read_bundle(spark, str(tmp_path / "attachments"))
 
 
+def test_relative_paths(spark, folder):
+    import os
+
+    emails, files = bundle.read_bundle(spark, os.path.relpath(folder) + "/")
+    assert files.where("read_error is not null").count() == 1 and emails.count() == 8
+
+
 def test_paths(spark):
     assert one(spark, bundle.contained, "attachments/a.txt", "../x", "/etc/passwd", "a/../b.txt", "a/../../b", "./Attachments/q", "..", None) == ["a.txt", None, "passwd", "b.txt", None, "q", None, None]
     assert one(spark, lambda c: bundle.candidates(c, ["/r", "/s"]), "x/a.txt", "/abs/b") == [["/r/x/a.txt", "/r/attachments/a.txt", "/s/x/a.txt", "/s/attachments/a.txt"], ["/abs/b"]]
