@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import centroids, divergence, lines
 from . import quality as q
 
 WS = r"[\x20\x09-\x0D]+"
@@ -54,5 +55,56 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+LINES = f"""
+with l as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+e as (select r, doc_id, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as line from l),
+k as (select *, {_LOWER.format(r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')")} as key from e),
+f as (select key, max(doc_id) as last from k where length(key) >= {lines.MIN_CHARS} group by key having count(distinct coalesce(doc_id, -1)) >= {lines.MIN_DOCS})
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from (select k.*, f.key is not null and doc_id is distinct from last as gone from k left join f using (key)) group by r, doc_id
+"""
+
+
+def _centroids() -> str:
+    """Ten rounds, a step of the query each."""
+    k, n = centroids.K, centroids.DIM
+    steps = [f"""v as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::double)::bigint) as x from embeddings
+  where len(embedding) = {n} and len(list_filter(embedding, lambda x: isfinite(x))) = {n}),
+c0 as materialized (select row_number() over (order by sha256('{centroids.SALT}' || vec_id), x) - 1 as c, x from v order by 1 limit {k})"""]
+    for i in range(centroids.ROUNDS + 1):
+        away = f"list_sum(list_transform(range(1, {n + 1}), lambda j: (v.x[j] - c.x[j]) * (v.x[j] - c.x[j])))::bigint"
+        steps.append(f"a{i} as materialized (select r, any_value(vec_id) as vec_id, any_value(x) as x, min(struct_pack(d := d, c := c)) as m from (select v.r, vec_id, v.x, c.c, {away} as d from v cross join c{i} c) group by r)")
+        if i < centroids.ROUNDS:
+            steps.append(f"""s{i} as (select c, j, sum(x[j])::hugeint as s, count(*) as n from (select m.c as c, x, unnest(range(1, {n + 1})) as j from a{i}) group by all),
+c{i + 1} as materialized (select c.c, coalesce(any_value(y.x), any_value(c.x)) as x from c{i} c left join (select c, list(((s - ((s % n) + n) % n) // n)::bigint order by j) as x from s{i} group by c) y on y.c = c.c group by c.c)""")
+    last = centroids.ROUNDS
+    return "with " + ",\n".join(steps) + f"""
+select vec_id, m.c::int as cluster, m.d as distance, (sum(m.d) over (partition by m.c))::bigint as cluster_inertia, (sum(m.d) over ())::bigint as inertia, sha256(array_to_string(c.x, ',')) as centroid_sha256
+from a{last} a join c{last} c on c.c = a.m.c"""
+
+
+_d = divergence
+_SHARE = "(1 + ({0}::hugeint * {1}) // ({2} + {3}))::bigint"
+AUDIT = f"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, {_LOWER.format("coalesce(text, '')")} as t from documents),
+w as (select r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d),
+k as materialized (select lang, term from w group by all having count(distinct r) >= {_d.MIN_DOCS}),
+v as (select lang, count(*) as v from k group by lang),
+g as materialized (select distinct lang, source from d),
+n as materialized (select w.lang, w.source, w.term, count(*) as n from w join k using (lang, term) group by all),
+dense as (select g.lang, g.source, k.term, coalesce(n.n, 0) as n from g join k using (lang) left join n using (lang, source, term)),
+p as materialized (select lang, source, term, n, {_SHARE.format(_d.WHOLE, f"(n + {_d.SMOOTH})", "sum(n) over (partition by lang, source)", f"{_d.SMOOTH} * v")} as p,
+  {_SHARE.format(_d.WHOLE, f"(sum(n) over (partition by lang, term) + {_d.SMOOTH})", "sum(n) over (partition by lang)", f"{_d.SMOOTH} * v")} as q from dense join v using (lang)),
+pairs as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p))::bigint as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+every as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source
+  union all select lang, source, 'term', term, p - q from p where n > 0 and p > q)
+select lang, source, part, item, value, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from every qualify part = 'pair' or rank <= {_d.TOP}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_divergence_quality": _quality(), "op4_minhash_neardup": NEARDUP}
+    return {
+        "op2_divergence_quality": _quality(), "op4_minhash_neardup": NEARDUP, "op11_mph_line_dedup": LINES, "op12_yinyang_centroids": _centroids(), "op13_source_divergence": AUDIT,
+    }

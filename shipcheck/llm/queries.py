@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, neardup, packing, pii, quality, sharding, toxicity, urls
+from . import centroids, divergence, langid, lines, media, mixing, neardup, packing, pii, quality, sharding, toxicity, urls
 from .common import table
 from .oracles import oracle_sql  # noqa: F401  (part of this module's interface)
 
@@ -56,6 +56,19 @@ def op10_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.expr(pii.rendered("spans")), 256).alias("base_sha256"), F.expr(pii.rendered("concat(spans, terms)")).alias("spans"))
 
 
+def op11_mph_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op12_yinyang_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     names = sorted((k for k in globals() if k.startswith("op") and k[2].isdigit()), key=lambda k: int(k[2:].split("_")[0]))
     return {k: globals()[k] for k in names}
