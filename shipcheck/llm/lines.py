@@ -12,9 +12,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 
 from . import mph
-from .common import batch_rows, materialise
+from .common import batch_rows, materialise, unused
 
 #: Production parameters: least code points of a key, least documents that share it.
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -129,7 +130,7 @@ def _routed(docs: DataFrame, index: DataFrame, shards: int, min_chars: int, min_
     return gone.groupBy("_id", "_text").agg(F.collect_list("_p").alias("_at"))
 
 
-@F.arrow_udf("array<boolean>")
+@F.arrow_udf(ArrayType(BooleanType()))
 def _flags(n: pa.Array, at: pa.Array) -> pa.Array:
     """n flags, set at the places `at`."""
     lengths = np.asarray(n)
@@ -153,12 +154,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     index = materialise(build_index(shared, shards), "lineindex")
     size = index.agg(F.sum(F.expr(" + ".join(f"octet_length({c})" for c in ("sizes", "words", "ranks", "prints", "counts", "last"))))).first()[0] or 0
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
+    lost, one, two, at = (unused(docs, c) for c in ("_lost", "_id", "_text", "_at"))
     if size <= held_bytes:
-        d = docs.withColumn("_lost", _held(index, shards, min_docs)(F.col("doc_id").cast("long"), hashed_lines("text", min_chars)))
+        d = docs.withColumn(lost, _held(index, shards, min_docs)(F.col("doc_id").cast("long"), hashed_lines("text", min_chars)))
     else:
-        gone = _routed(docs, index, shards, min_chars, min_docs)
-        j = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text")), "left")
-        d = j.withColumn("_lost", _flags(F.size(lines), F.coalesce("_at", F.expr("cast(array() as array<int>)")))).drop("_id", "_text", "_at")
-    d = d.withColumns({"n_lines": F.size("_lost").cast("long"), "n_dropped": F.size(F.filter("_lost", lambda x: x)).cast("long")})
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.get("_lost", i)), "\n")
+        gone = _routed(docs, index, shards, min_chars, min_docs).withColumnsRenamed({"_id": one, "_text": two, "_at": at})
+        j = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(one)) & (F.xxhash64("text") == F.col(two)), "left")
+        d = j.withColumn(lost, _flags(F.size(lines), F.coalesce(at, F.expr("cast(array() as array<int>)")))).drop(one, two, at)
+    d = d.withColumns({"n_lines": F.size(lost).cast("long"), "n_dropped": F.size(F.filter(lost, lambda x: x)).cast("long")})
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.get(lost, i)), "\n")
     return d.withColumn("text", F.when(F.col("n_dropped") > 0, kept).otherwise(F.col("text"))).select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
