@@ -4,6 +4,9 @@ The seven fields of a document stay together in one row, as arrays in canonical
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,11 +14,14 @@ from .. import vocab as v
 from ..functions.text import containers_rule, forms, let, party_rule, port_rule, weight_rule
 from .classify import classify
 from .extract import extract_values, field_rows
-from .identify import assess, choose, summarise
+from .identify import assess, choose, items, summary
 
 #: The rule of each field, in canonical order.
 RULES = [party_rule, party_rule, party_rule, port_rule, port_rule, containers_rule, weight_rule]
 _SHIPPER, _CONSIGNEE, _NOTIFY = (v.FIELDS.index(f) for f in ("shipper", "consignee", "notify_party"))
+Watch = Callable[[str, DataFrame], DataFrame]
+#: What an item of a dossier carries beside its assessment.
+FIELDS_READ = ["raw", "norm", "ocr"]
 DECISION = ["email_id", "category", "status", "has_defect", "defect_fields", "review_reason", "classification_reasons"]
 
 
@@ -82,31 +88,52 @@ def roll_up(comparisons: DataFrame, key: str = "email_id") -> DataFrame:
     return comparisons.select(key, comparison(F.col("comparisons")).alias("comparison"), differing(F.col("comparisons")).alias("defect_fields"))
 
 
-def verify(emails: DataFrame, attachments: DataFrame, unicode: bool = True) -> DataFrame:
+def examine(attachments: DataFrame, unicode: bool = True) -> DataFrame:
+    """attachments, assessed, with raw and norm (the seven fields of those that may be an SI or a BL) and ocr; row by row.
+
+    attachments(email_id, att_pos, filename, type_hint, extraction, read_error, content)."""
+    a = assess(attachments)
+    a = a.withColumn("_text", F.when(F.col("readable") & F.col("document_type").isin("SI", "BL"), F.col("content")))
+    a = normalize_values(extract_values(a, "_text"), unicode=unicode).drop("_text")
+    return a.withColumn("ocr", F.coalesce(F.lower("extraction").startswith("ocr"), F.lit(False)))
+
+
+def _unwatched(stage: str, d: DataFrame) -> DataFrame:
+    """Decisions pass an observation all the same: a filter on them isn't pushed below it, where it would repeat the
+    whole chain of expressions for every column it names."""
+    return d.observe(f"decisions {uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows")) if stage == "compare" else d
+
+
+def dossiers(emails: DataFrame, attachments: DataFrame, unicode: bool = True, watch: Watch = _unwatched) -> DataFrame:
+    """emails with `items`, all that is known of their attachments: these are examined where they lie, and no content moves."""
+    examined = watch("extract", examine(watch("read", attachments), unicode))
+    return watch("load", emails).join(items(examined, *FIELDS_READ), "email_id", "left")
+
+
+def judge(d: DataFrame, *keep: str, watch: Watch = _unwatched) -> DataFrame:
+    """The decision (DECISION), all its evidence and the columns `keep`, from rows of dossiers (email_id, subject, body, sender, items); row by row."""
+    d = choose(watch("classify", classify(summary(d))))
+    d = d.withColumn("_comparison", F.col("category") == "BL_COMPARISON").withColumn("_chosen", F.col("_comparison") & F.col("review_reason").isNull())
+    at = lambda pos: F.when(F.col("_chosen"), F.get(F.filter("items", lambda x: x["att_pos"] == F.col(pos)), F.lit(0)))
+    d = d.withColumns({"_si": at("si_pos"), "_bl": at("bl_pos")}).withColumn("comparisons", compared(F.col("_si"), F.col("_bl")))
+    d = d.withColumns({"_result": comparison(F.col("comparisons")), "_wrong": differing(F.col("comparisons"))})
+    lacking = F.when(F.col("_result") == "incomplete", F.when(F.col("_si.ocr") | F.col("_bl.ocr"), "unreadable").otherwise("missing_value"))
+    d = d.withColumn("review_reason", F.when(F.col("_comparison"), F.coalesce("review_reason", lacking)))
+    d = d.withColumn("status", F.when(F.col("_comparison"), F.when(F.col("review_reason").isNotNull(), "NEEDS_REVIEW").when(F.col("_result") == "match", "OK").otherwise("MISMATCH")))
+    bad = F.coalesce(F.col("status") == "MISMATCH", F.lit(False))
+    d = d.withColumns({"has_defect": bad, "defect_fields": F.when(bad, F.col("_wrong")).otherwise(F.expr("cast(array() as array<string>)"))})
+    return watch("compare", d.select(*DECISION, "subject", "sender", "attachments", "si_pos", "bl_pos", "comparisons", *keep))
+
+
+def verify(emails: DataFrame, attachments: DataFrame, unicode: bool = True, watch: Watch = _unwatched) -> DataFrame:
     """One row per email with the decision (DECISION) and all its evidence: subject, sender, attachments
     (assessed), si_pos, bl_pos, comparisons.
 
     emails(email_id, subject, body, sender), attachments(email_id, att_pos, filename, type_hint,
-    extraction, read_error, content).  Attachments are assessed where they lie and summed up per email
-    without their contents; the contents of comparison emails' two chosen documents join their
-    email by the same key, and one aggregation on it brings the sides together: emails, summaries and
-    contents are exchanged once each."""
-    d = choose(classify(emails.join(summarise(assess(attachments)), "email_id", "left")))
-    d = d.withColumn("_comparison", F.col("category") == "BL_COMPARISON").withColumn("_chosen", F.col("_comparison") & F.col("review_reason").isNull())
-    files = attachments.select(F.col("email_id").alias("_of"), F.col("att_pos").alias("_at"), "content", F.lower("extraction").startswith("ocr").alias("_ocr"))
-    j = d.join(files, (d["email_id"] == files["_of"]) & d["_chosen"] & (files["_at"].eqNullSafe(d["si_pos"]) | files["_at"].eqNullSafe(d["bl_pos"])), "left")
-    j = normalize_values(extract_values(j), unicode=unicode)
-    side = lambda pos: F.first(F.when(F.col("_at") == F.col(pos), F.struct("raw", "norm")), ignorenulls=True)
-    same = ["category", "classification_reasons", "review_reason", "_comparison", "si_pos", "bl_pos", "attachments", "subject", "sender"]
-    g = j.groupBy("email_id").agg(*[F.first(c).alias(c) for c in same], side("si_pos").alias("_si"), side("bl_pos").alias("_bl"), F.coalesce(F.bool_or("_ocr"), F.lit(False)).alias("_ocr"))
-    g = g.withColumn("comparisons", compared(F.col("_si"), F.col("_bl")))
-    g = g.withColumns({"_result": comparison(F.col("comparisons")), "_wrong": differing(F.col("comparisons"))})
-    reason = F.coalesce("review_reason", F.when(F.col("_result") == "incomplete", F.when(F.col("_ocr"), "unreadable").otherwise("missing_value")))
-    g = g.withColumn("review_reason", F.when(F.col("_comparison"), reason))
-    g = g.withColumn("status", F.when(F.col("_comparison"), F.when(F.col("review_reason").isNotNull(), "NEEDS_REVIEW").when(F.col("_result") == "match", "OK").otherwise("MISMATCH")))
-    bad = F.coalesce(F.col("status") == "MISMATCH", F.lit(False))
-    g = g.withColumns({"has_defect": bad, "defect_fields": F.when(bad, F.col("_wrong")).otherwise(F.expr("cast(array() as array<string>)"))})
-    return g.select(*DECISION, "subject", "sender", "attachments", "si_pos", "bl_pos", "comparisons")
+    extraction, read_error, content).  One branch: attachments are read, decoded, assessed and extracted once, where
+    they lie; what is known of them (no contents) is grouped by email and joins it, and all else is row by row.
+    watch(stage, rows) sees what leaves each stage (load, read, extract, classify, compare) and hands it on."""
+    return judge(dossiers(emails, attachments, unicode, watch), watch=watch)
 
 
 def decide(emails: DataFrame, attachments: DataFrame, unicode: bool = True) -> DataFrame:

@@ -50,22 +50,41 @@ def assess(attachments: DataFrame) -> DataFrame:
     return d.select(*attachments.columns, "suffix", (F.col("_plain") & ~F.col("_broken")).alias("readable"), "si_score", "bl_score", kind.alias("document_type"), reasons.alias("reasons"))
 
 
-def summarise(assessed: DataFrame) -> DataFrame:
-    """One row per email with attachments, by one aggregation that moves no contents: n_attachments, att_text
-    (for classify), n_readable, typed, si and bl (candidates, best first), and attachments (all, in order)."""
-    best = lambda role: F.sort_array(F.collect_list(F.when(F.col("readable") & (F.col("document_type") == role.upper()), F.struct(F.col(f"{role}_score").alias("score"), "att_pos"))), asc=False)
+def item(assessed: DataFrame, *more: str) -> Column:
+    """What is known of an attachment, without its contents, as a struct: position first.  more: further columns that it carries."""
     given = lambda c: F.col(c) if c in assessed.columns else F.lit(None).cast("string")
-    item = F.struct(
+    return F.struct(
         "att_pos", "filename", source_format(F.col("filename"), given("source_format")).alias("source_format"), extraction_method(F.col("filename"), F.col("extraction")).alias("extraction"),
-        F.nullif("read_error", F.lit("")).alias("read_error"), "document_type", "reasons", "readable", given("source").alias("source"), "si_score", "bl_score",
-    )
-    texts = F.array_sort(F.collect_list(F.struct("att_pos", signal().alias("t"))))
-    return assessed.groupBy("email_id").agg(
-        F.count(F.lit(1)).alias("n_attachments"), F.concat_ws(" ", F.transform(texts, lambda x: x["t"])).alias("att_text"), F.count_if("readable").alias("n_readable"),
-        F.max(F.col("document_type").isin("SI", "BL") & F.col("readable")).alias("typed"), best("si").alias("si"), best("bl").alias("bl"), F.array_sort(F.collect_list(item)).alias("attachments"),
+        F.nullif("read_error", F.lit("")).alias("read_error"), "document_type", "reasons", "readable", given("source").alias("source"), "si_score", "bl_score", signal().alias("signal"), *more,
     )
 
 
+def items(assessed: DataFrame, *more: str) -> DataFrame:
+    """email_id, items: an email's attachments in order, by one aggregation that moves no contents."""
+    return assessed.groupBy("email_id").agg(F.array_sort(F.collect_list(item(assessed, *more))).alias("items"))
+
+
+#: What an item shows of an attachment.
+SHOWN = ["att_pos", "filename", "source_format", "extraction", "read_error", "document_type", "reasons", "readable", "source", "si_score", "bl_score"]
+
+
+def summary(d: DataFrame) -> DataFrame:
+    """d with what its `items` come to, row by row: n_attachments, att_text (for classify), n_readable, typed, si and bl (candidates,
+    best first), and attachments (shown; null where there are none)."""
+    typed = lambda x, *kinds: x["readable"] & F.coalesce(x["document_type"].isin(*kinds), F.lit(False))
+    best = lambda role: F.sort_array(F.transform(F.filter("items", lambda x: typed(x, role.upper())), lambda x: F.struct(x[f"{role}_score"].alias("score"), x["att_pos"].alias("att_pos"))), asc=False)
+    return d.withColumns({
+        "n_attachments": F.when(F.col("items").isNotNull(), F.size("items")).otherwise(0), "att_text": F.array_join(F.transform("items", lambda x: x["signal"]), " "),
+        "n_readable": F.size(F.filter("items", lambda x: x["readable"])), "typed": F.exists("items", lambda x: typed(x, "SI", "BL")), "si": best("si"), "bl": best("bl"),
+        "attachments": F.transform("items", lambda x: F.struct(*[x[c].alias(c) for c in SHOWN])),
+    })
+
+
+def summarise(assessed: DataFrame) -> DataFrame:
+    """One row per email with attachments: email_id and the columns of summary."""
+    return summary(items(assessed)).drop("items")
+
+
 def _top(c: str, i: int) -> Column:
     return F.get(c, F.lit(i))
 
