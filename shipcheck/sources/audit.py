@@ -1,26 +1,38 @@
-"""The audit report: a summary, then one section per email, as one HTML file."""
+"""The audit report: a summary, then one section per email, as HTML."""
 
 from __future__ import annotations
 
+import re
+import shutil
+import uuid
 from html import escape
 from pathlib import Path
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab as v
 from ..functions.text import display, joined
 from ..operators import report
+from .fetch import store
+from .inbox_format import listed
+from .shared import materialise, numbered, shared_dir
 
 
 class Audit(NamedTuple):
     path: str
-    included_ids: list[str]
+    included_count: int
+    index: DataFrame  # email_id, number, part, offset, length: where each section lies
 
     @property
-    def included_count(self) -> int:
-        return len(self.included_ids)
+    def included_ids(self) -> list[str]:
+        """The ids in order; for reports that a person reads, not for large ones."""
+        return [r[0] for r in self.index.orderBy("number").select("email_id").collect()]
+
+
+#: Sections of a part.
+PART = 1000
 
 
 def _table(head: list[str], rows) -> str:
@@ -28,6 +40,45 @@ def _table(head: list[str], rows) -> str:
     return "<table>" + (line("th", head) if head else "") + "".join(line("td", r) for r in rows) + "</table>"
 
 
+def escaped(c: Column) -> Column:
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(mark), F.lit(name))
+    return c
+
+
+def _cells(cells: Column) -> Column:
+    return F.concat(F.lit("<tr>"), F.array_join(F.transform(cells, lambda c: F.concat(F.lit("<td>"), escaped(F.coalesce(c, F.lit("None"))))), ""))
+
+
+def _pairs(*rows: tuple[str, str]) -> Column:
+    return F.concat(F.lit("<table>"), *[_cells(F.array(F.lit(name), F.col(c))) for name, c in rows], F.lit("</table>"))
+
+
+def _lists(head: list[str], rows: Column) -> Column:
+    return F.concat(F.lit(_table(head, [])[: -len("</table>")]), F.array_join(F.transform(rows, _cells), ""), F.lit("</table>"))
+
+
+def rendered_sections(verified: DataFrame) -> DataFrame:
+    """email_id, html: each email's section, made where its row lies; its line ends are those of its explanation."""
+    none = F.array(F.array(*[F.lit(x) for x in ("No attachments", "-", "-", "-", "-")]))
+    return sections(verified).select("email_id", F.concat(
+        F.lit("<h2>Email audit: "), escaped(F.col("email_id")), F.lit("</h2>"), _pairs(("Email ID", "email_id"), ("Subject", "subject"), ("Category", "category"), ("Evidence", "evidence")),
+        _lists(["Attachment", "Detected type", "Evidence", "Source format", "Extraction"], F.when(F.size("files") > 0, F.col("files")).otherwise(none)),
+        F.when(F.size("fields") > 0, _lists(["Field", "SI raw", "BL raw", "SI normalized", "BL normalized", "Result"], F.col("fields"))).otherwise(""),
+        _pairs(("Final status", "status"), ("Defect fields", "defects"), ("Review reason", "reason")), F.lit("<pre>"), escaped(F.col("explanation")), F.lit("</pre>"),
+    ).alias("html"))
+
+
+def audit_parts(verified: DataFrame, part: int = PART) -> DataFrame:
+    """email_id, number, part, offset, length, html: sections in id order, numbered from 1 over all emails, in parts of `part` sections each;
+    offset and length are bytes in the part's file, where each section is a line of its own (or several)."""
+    d = numbered(rendered_sections(verified), "email_id", "auditsections", "_place")
+    d = d.select("email_id", (F.col("_place") + 1).alias("number"), F.expr(f"_place div {part}").alias("part"), F.octet_length("html").cast("long").alias("length"), "html")
+    before = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    places = d.select(F.col("number").alias("_n"), F.coalesce(F.sum(F.col("length") + 1).over(before), F.lit(0)).alias("offset"), "part")
+    return d.join(places.drop("part"), d["number"] == places["_n"]).select("email_id", "number", "part", "offset", "length", "html")
+
+
 def sections(verified: DataFrame) -> DataFrame:
     """email_id, subject, category, evidence, files, fields, status, defects, reason, explanation: what an email's section shows, nulls as dashes."""
     value = lambda c: display(c, none="-")
@@ -41,31 +92,48 @@ def sections(verified: DataFrame) -> DataFrame:
     return d.join(report.explain(verified), "email_id")
 
 
-def write_audit(verified: DataFrame, emails: DataFrame, path: str, problems_only: bool = False, seconds: float = 0.0) -> Audit:
-    """Writes the report of all decisions, or of those that aren't OK; emails without a decision are an error.
+def summary_page(known: DataFrame, shown: int, problems_only: bool, seconds: float) -> str:
+    """The head of the report: a row for each count and label."""
+    m = report.metrics(known, seconds).first()
+    scope = "Problem decisions only" if problems_only else "All processed email decisions"
+    of = lambda c, names, zeros: [(r["label"], r["n"]) for r in report.distribution(known, c, names, zeros).orderBy("ord").collect()]  # noqa: E731  (a row per label)
+    return "".join([
+        "<!doctype html><meta charset=utf-8><title>Decision audit</title><h1>Decision audit</h1><h2>Summary</h2>",
+        _table([], [("Emails processed", m["processed"]), ("Emails in this report", shown), ("Scope", scope), ("Runtime", f"{m['runtime_seconds']:.2f} seconds"), ("Throughput", f"{m['throughput']:.2f} emails/sec"),
+                    ("Comparisons", m["comparisons"]), ("OK", m["ok"]), ("MISMATCH", m["mismatch"]), ("NEEDS_REVIEW", m["needs_review"])]),
+        _table(["Category", "Count"], of("category", v.CATEGORIES, True)), _table(["Review reason", "Count"], of("review_reason", sorted(v.REVIEW_REASONS), False) or [("None", 0)]),
+    ])
 
-    Sections come in id order and are streamed to the file, never held together."""
-    known, ids = report.decided(verified, emails), []
+
+def write_audit_parts(verified: DataFrame, emails: DataFrame, folder: str, problems_only: bool = False, seconds: float = 0.0, part: int = PART) -> Audit:
+    """The report as a folder: summary.html, parts/part=N/*.txt (sections, one behind the other) and index/ (where each email's section lies).
+
+    Of all decisions, or of those that aren't OK; emails without a decision are an error.  Sections are made, numbered and
+    written by the executors; the driver sees counts alone."""
+    known = report.decided(verified, emails)
     lacking = [r[0] for r in report.undecided(emails, verified).select("email_id").orderBy("email_id").limit(5).collect()]
     if lacking:
         raise ValueError(f"there are emails without a decision: {lacking}")
-    shown = report.problems(known) if problems_only else known
+    parts = materialise(audit_parts(report.problems(known) if problems_only else known, part), "auditparts")
+    parts.repartition("part").sortWithinPartitions("part", "number").select("part", F.col("html").alias("value")).write.partitionBy("part").text(f"{folder}/parts")
+    parts.drop("html").repartitionByRange("email_id").sortWithinPartitions("email_id").write.parquet(f"{folder}/index")
+    index = verified.sparkSession.read.parquet(f"{folder}/index")
+    at, path = store(folder)
+    with at.open_output_stream(f"{path}/summary.html") as f:
+        f.write(summary_page(known, count := index.count(), problems_only, seconds).encode())
+        if not count:
+            f.write(b"<p>No MISMATCH or NEEDS_REVIEW decisions were included.")
+    return Audit(folder, count, index)
+
+
+def write_audit(verified: DataFrame, emails: DataFrame, path: str, problems_only: bool = False, seconds: float = 0.0) -> Audit:
+    """The same as one HTML file, put together from the parts' files in order; a part is never held as a whole."""
+    done = write_audit_parts(verified, emails, f"{shared_dir(verified.sparkSession)}/audit-{uuid.uuid4().hex}", problems_only, seconds)
+    at, folder = store(done.path)
+    files = [f"{folder}/summary.html", *sorted((x.path for x in listed(f"{done.path}/parts", (".txt",), True)), key=lambda p: int(re.search(r"/part=(\d+)/", p)[1]))]
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("<!doctype html><meta charset=utf-8><title>Decision audit</title><h1>Decision audit</h1><h2>Summary</h2>")
-        m = report.metrics(known, seconds).first()
-        scope = "Problem decisions only" if problems_only else "All processed email decisions"
-        f.write(_table([], [("Emails processed", m["processed"]), ("Emails in this report", shown.count()), ("Scope", scope), ("Runtime", f"{m['runtime_seconds']:.2f} seconds"), ("Throughput", f"{m['throughput']:.2f} emails/sec"),
-                            ("Comparisons", m["comparisons"]), ("OK", m["ok"]), ("MISMATCH", m["mismatch"]), ("NEEDS_REVIEW", m["needs_review"])]))
-        of = lambda c, names, zeros: [(r["label"], r["n"]) for r in report.distribution(known, c, names, zeros).orderBy("ord").collect()]  # noqa: E731  (a row per label)
-        f.write(_table(["Category", "Count"], of("category", v.CATEGORIES, True)) + _table(["Review reason", "Count"], of("review_reason", sorted(v.REVIEW_REASONS), False) or [("None", 0)]))
-        for r in sections(shown).orderBy("email_id").toLocalIterator():
-            ids.append(r["email_id"])
-            f.write(f"<h2>Email audit: {escape(r['email_id'])}</h2>" + _table([], [("Email ID", r["email_id"]), ("Subject", r["subject"]), ("Category", r["category"]), ("Evidence", r["evidence"])]))
-            f.write(_table(["Attachment", "Detected type", "Evidence", "Source format", "Extraction"], r["files"] or [("No attachments", "-", "-", "-", "-")]))
-            if r["fields"]:
-                f.write(_table(["Field", "SI raw", "BL raw", "SI normalized", "BL normalized", "Result"], r["fields"]))
-            f.write(_table([], [("Final status", r["status"]), ("Defect fields", r["defects"]), ("Review reason", r["reason"])]) + f"<pre>{escape(r['explanation'])}</pre>")
-        if not ids:
-            f.write("<p>No MISMATCH or NEEDS_REVIEW decisions were included.")
-    return Audit(path, ids)
+    with open(path, "wb") as f:
+        for name in files:
+            with at.open_input_stream(name) as g:
+                shutil.copyfileobj(g, f)
+    return Audit(path, done.included_count, done.index)
