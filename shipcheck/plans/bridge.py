@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 import pandas as pd
@@ -10,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from ..sources.fetch import store
+from ..sources.shared import shared_dir
+
 TABLES = ["orders", "customer", "nation", "supplier", "lineitem"]
 
 #: One row per order with line items: the facts that both documents state.
@@ -123,3 +127,26 @@ def office_file(kind: Column, name: Column) -> Column:
         return pd.Series([office_bytes(k, n) for k, n in zip(kinds, names, strict=True)])
 
     return made(kind, name)
+
+
+def written_inbox(spark: SparkSession, sf_dir: str) -> str:
+    """The same emails as an inbox in the shared folder: payloads of many emails each in inbox/*.json, the text of every
+    attachment in a file of its own below attachments/."""
+    root = f"{shared_dir(spark)}/inbox-{uuid.uuid4().hex}"
+    emails, attachments = emails_and_attachments(spark, sf_dir)
+    named = attachments.select("email_id", "att_pos", "content", F.concat_ws("/", F.lpad(F.pmod(F.hash("email_id"), F.lit(64)).cast("string"), 2, "0"), "filename").alias("path"))
+    at, base = store(f"{root}/attachments")
+
+    def write(batches):
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                at.create_dir(f"{base}/{path.rsplit('/', 1)[0]}", recursive=True)
+                with at.open_output_stream(f"{base}/{path}") as f:
+                    f.write(content.encode())
+            yield batch.select(["path"])
+
+    named.select("path", "content").mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+    refs = named.groupBy("email_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("att_pos", "path"))), lambda x: x["path"]).alias("attachments"))
+    mails = emails.join(refs, "email_id", "left").select(F.pmod(F.hash("email_id"), F.lit(16)).alias("g"), F.struct("email_id", "subject", "body", F.col("sender").alias("from"), "attachments").alias("m"))
+    mails.groupBy("g").agg(F.collect_list("m").alias("emails")).select("emails").write.option("maxRecordsPerFile", 1).json(f"{root}/inbox")
+    return root

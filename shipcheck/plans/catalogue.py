@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .. import vocab as v
 from ..functions import text as t
-from ..operators import classify, decide, extract, identify, report
-from ..sources import bundle, decode
+from ..operators import classify, decide, extract, identify, measure, report
+from ..sources import audit, bundle, decode, inbox_format, sink, snapshots
+from ..sources.shared import materialise, shared_dir
 from . import bridge
 
 _QUERIES: dict[str, Callable] = {}
@@ -376,9 +378,30 @@ def h12_display(spark, sf):
     return _table(spark, sf, "customer").select("c_custkey", t.display(F.col("c_name"), 12).alias("shown"))
 
 
-@query(bridge.oracle("""select email_id, '{"email_id":"' || email_id || '","category":"' || category || '","has_defect":' || case when has_defect then 'true' else 'false' end || ',"defect_fields":[' || case when defect_fields = '' then '' else '"' || defect_fields || '"' end || ']}' as payload from expected""", _E))
+#: A template's entry with values at several depths and constants between them.
+SHAPE = '{"id": null, "answer": {"kind": "verdict", "classification": null, "result": null, "checks": [{"mismatch_found": false, "defects": []}], "review_code": "?"}, "schema": 1}'
+
+
+@query(bridge.oracle("""select k as pos, concat('  "', email_id, '": {
+    "id": "', email_id, '",
+    "answer": {
+      "kind": "verdict",
+      "classification": "', category, '",
+      "result": ', coalesce('"' || status || '"', 'null'), ',
+      "checks": [
+        {
+          "mismatch_found": ', case when has_defect then 'true' else 'false' end, ',
+          "defects": ', case when defect_fields = '' then '[]' else '[' || chr(10) || '            "' || defect_fields || '"' || chr(10) || '          ]' end, '
+        }
+      ],
+      "review_code": ', coalesce('"' || review_reason || '"', 'null'), '
+    },
+    "schema": 1
+  }') as line from expected""", _E))
 def i9_submission(spark, sf):
-    return _decisions(spark, sf).select("email_id", F.to_json(F.struct("email_id", "category", "has_defect", "defect_fields")).alias("payload"))
+    emails, attachments = bridge.emails_and_attachments(spark, sf)
+    template = emails.select(F.col("k").alias("pos"), "email_id", F.lit(SHAPE).alias("shape"))
+    return sink.entries(decide.decide(emails, attachments), template)
 
 
 # --- sources: JSON and files made of the star tables, read back
@@ -551,6 +574,93 @@ def i11_explain(spark, sf):
     return report.explain(_verified(spark, sf))
 
 
+# --- sets, versions, formats, measures
+
+
+@query("""with o as (select concat('email_', cast(o_orderkey as varchar)) as email_id, o_orderkey as k from orders)
+select 'equal' as case_, cast(0 as bigint) as missing, cast(0 as bigint) as unknown, true as same
+union all select 'unequal', (select count(*) from o where k % 7 <> 0 and k % 5 = 0), (select count(*) from o where k % 7 = 0 and k % 5 <> 0), false""")
+def g2_set_equality(spark, sf):
+    o = _table(spark, sf, "orders").select(F.concat(F.lit("email_"), F.col("o_orderkey").cast("string")).alias("email_id"), F.col("o_orderkey").alias("k"))
+    side = lambda name: F.count_if(F.col("side") == name).alias(name)
+    out = None
+    for case, a, b in (("equal", o, o.orderBy(F.desc("k"))), ("unequal", o.where("k % 7 <> 0"), o.where("k % 5 <> 0"))):
+        d = report.differences(a, b).agg(side("missing"), side("unknown")).withColumn("case_", F.lit(case)).withColumn("same", F.lit(report.same_ids(a, b)))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+_VERSIONS = """select version, cast(count(*) filter (version = 1 or k % 10 = 3) as bigint) as decided, count(*) as processed, count(*) filter (category = 'BL_COMPARISON') as comparisons,
+  count(*) filter (status = 'OK') as ok, count(*) filter (status = 'MISMATCH') as mismatch, count(*) filter (status = 'NEEDS_REVIEW') as needs_review, 'tables' as source, 'bridge' as loader
+  from expected, (select unnest([1, 2]) as version) group by version"""
+
+
+def _snapshots(spark, sf) -> snapshots.Snapshots:
+    """Two versions: all emails, then the same with some words added to every tenth."""
+    store = snapshots.Snapshots(spark, f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}")
+    emails, attachments = bridge.emails_and_attachments(spark, sf)
+    for e in (emails, emails.withColumn("body", F.when(F.col("k") % 10 == 3, F.concat("body", F.lit(" Thanks."))).otherwise(F.col("body")))):
+        store.update(e, attachments, source="tables", loader="bridge")
+    return store
+
+
+@query(bridge.oracle(_VERSIONS, _E))
+def l10_incremental_versions(spark, sf):
+    store = _snapshots(spark, sf)
+    names = ["version", "decided", "processed", "comparisons", "ok", "mismatch", "needs_review", "source", "loader"]
+    return spark.createDataFrame([tuple(store.summary(n)[c] for c in names) for n in store.versions()], "version int, decided long, processed long, comparisons long, ok long, mismatch long, needs_review long, source string, loader string")
+
+
+@query(bridge.oracle("""select email_id, category, status, review_reason, cast(case when defect_fields = '' then 0 else 1 end as int) as defect_count, cast((select count(*) from expected) as bigint) as total
+  from expected where email_id > 'email_00000500' order by email_id limit 25""", _E))
+def l7_page_behind_an_id(spark, sf):
+    rows, total = _snapshots(spark, sf).page("email_00000500", 25)
+    return rows.drop("subject").withColumn("total", F.lit(total).cast("long"))
+
+
+@query(bridge.oracle("""select stage, name, cast(value as bigint) as value from (
+  select 'load' as stage, 'rows' as name, count(*) as value from expected union all select 'read', 'rows', count(*) from attachments_v union all select 'read', 'characters', sum(length(content)) from attachments_v union all select 'read', 'unreadable', 0
+  union all select 'extract', 'rows', count(*) from attachments_v union all select 'extract', 'documents', count(*) from attachments_v join facts using (email_id) where att_pos = 0 or dm <> 7
+  union all select 'classify', 'rows', count(*) from expected union all select 'classify', 'comparisons', count(*) filter (category = 'BL_COMPARISON') from expected
+  union all select 'compare', 'rows', count(*) from expected union all select 'compare', 'ok', count(*) filter (status = 'OK') from expected union all select 'compare', 'mismatch', count(*) filter (status = 'MISMATCH') from expected
+  union all select 'compare', 'needs_review', count(*) filter (status = 'NEEDS_REVIEW') from expected union all select 'compare', 'compared', count(*) filter (tm in (0, 6, 7, 8, 9) and dm <= 6) from expected)""", _E, "attachments_v"))
+def b9_observed_stages(spark, sf):
+    m = measure.Measured()
+    materialise(m.verify(*bridge.emails_and_attachments(spark, sf)), "measured")  # the one job
+    rows = [(stage, k, int(x)) for stage, found in m.counts().items() for k, x in found.items() if k not in ("seconds", "values")]
+    return spark.createDataFrame(rows, "stage string, name string, value long")
+
+
+@query(bridge.oracle("select email_id, category, status, defect_fields, review_reason from expected", _E))
+def a3_inbox_format(spark, sf):
+    emails, attachments = inbox_format.read_source(spark, bridge.written_inbox(spark, sf))
+    return decide.decide(emails, attachments).select("email_id", "category", "status", _joined("defect_fields").alias("defect_fields"), "review_reason")
+
+
+@query(bridge.oracle("select email_id, category, status, defect_fields, review_reason from expected", _E))
+def a11_folder_of_files(spark, sf):
+    emails, attachments = bundle.read_bundle(spark, bridge.written_inbox(spark, sf))
+    return decide.decide(emails, attachments).select("email_id", "category", "status", _joined("defect_fields").alias("defect_fields"), "review_reason")
+
+
+@query("select concat('m', cast(o_orderkey as varchar)) as email_id, o_orderpriority as priority, case when o_orderkey % 2 = 0 then o_orderstatus end as second_tag, o_orderkey % 3 = 0 as urgent from orders")
+def b6_metadata(spark, sf):
+    own = {"email_id": F.concat(F.lit("m"), F.col("o_orderkey").cast("string")), "headers": F.struct(F.struct(F.col("o_orderpriority").alias("level")).alias("priority"), (F.col("o_orderkey") % 3 == 0).alias("urgent"))}
+    tags = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("first"), F.col("o_orderstatus"))).otherwise(F.array(F.lit("first")))
+    payloads = _table(spark, sf, "orders").select(F.to_json(F.struct(*[c.alias(k) for k, c in own.items()], tags.alias("tags"))).alias("value"))
+    get = lambda path, kind: F.try_variant_get("metadata", path, kind)
+    return bundle.email_rows(bundle.email_items(payloads, True)).select("email_id", get("$.headers.priority.level", "string").alias("priority"), get("$.tags[1]", "string").alias("second_tag"), get("$.headers.urgent", "boolean").alias("urgent"))
+
+
+@query(bridge.oracle("""select email_id, row_number() over (order by email_id) as number, (row_number() over (order by email_id) - 1) // 100 as part, cast(count(*) over () as bigint) as total, true as titled
+  from expected where status in ('MISMATCH', 'NEEDS_REVIEW')""", _E))
+def a29_audit_sections(spark, sf):
+    parts = audit.audit_parts(report.problems(_verified(spark, sf)), 100)
+    titled = F.col("html").startswith("<h2>Email audit: email_") & F.col("html").endswith("</pre>") & (F.octet_length("html") == F.col("length"))
+    total = parts.agg(F.count(F.lit(1)).alias("total"))
+    return parts.select("email_id", "number", "part", titled.alias("titled")).withColumn("total", F.lit(total.first()[0]).cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
