@@ -32,11 +32,11 @@ join nation a on a.n_nationkey = s.s_nationkey
 #: subject, body and attachments by o_orderkey % 12.
 EMAILS = """
 select email_id, k, tm, dm, consignee as sender,
-  case when tm in (0, 6, 7, 8, 9) then 'Please compare SI and BL' when tm = 1 then 'New SI request' when tm = 2 then 'Invoice query' when tm = 3 then 'Holiday notice'
-       when tm = 4 then 'You have won a lottery' when tm = 5 then 'Account verification' when tm = 10 then 'Documents' else 'Draft BL' end as subject,
-  case when tm in (0, 6, 7, 8, 9) then 'Kindly verify the attached documents.' when tm = 1 then 'Please prepare a new SI.' when tm = 2 then 'Please clarify this payment.' when tm = 3 then 'The office is closed.'
-       when tm = 4 then 'Claim your prize, winner.' when tm = 5 then 'Confirm your account: sign in and act now.' when tm = 10 then 'Please compare the shipping instruction against the draft BL.'
-       else concat_ws(chr(10), 'See you next week.', 'On Monday someone wrote:', '> please compare SI and BL') end as body
+  case when tm in (0, 6, 7, 8, 9) then 'Two drafts to compare: SI and BL' when tm = 1 then 'Booking without papers' when tm = 2 then 'Freight invoice of last month' when tm = 3 then 'Canteen menu'
+       when tm = 4 then 'The lottery says: you have won' when tm = 5 then 'Account verification due' when tm = 10 then 'Papers' else 'Draft BL of yesterday' end as subject,
+  case when tm in (0, 6, 7, 8, 9) then 'Both files are below.' when tm = 1 then 'We ask for a new SI for this load.' when tm = 2 then 'Its payment went to another office.' when tm = 3 then 'Soup is served at noon.'
+       when tm = 4 then 'A winner should claim your prize.' when tm = 5 then 'Sign in and act now.' when tm = 10 then 'Could you hold the shipping instruction against the draft BL?'
+       else concat_ws(chr(10), 'Until Thursday.', 'On Tuesday a colleague wrote:', '> could you check SI with BL') end as body
 from facts
 """
 

@@ -325,10 +325,10 @@ def h5_normalize_party(spark, sf):
     return _table(spark, sf, "customer").select("c_custkey", t.normalize_party(raw).alias("norm"))
 
 
-@query("select n_nationkey, case n_nationkey % 4 when 0 then 'shanghai' when 1 then 'singapore' when 2 then 'port klang westport malaysia' else trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) end as norm from nation")
+@query("select n_nationkey, case n_nationkey % 4 when 0 then 'shanghai' when 1 then 'singapore' when 2 then 'port kembla berth 4 australia' else trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) end as norm from nation")
 def h6_normalize_port(spark, sf):
     m = F.col("n_nationkey") % 4
-    raw = F.when(m == 0, "Shanghai (CNSHA)").when(m == 1, "SGSIN").when(m == 2, "Port Klang (Westport), Malaysia (SGSIN)").otherwise(F.concat("n_name", F.lit(" (DEHAM)")))
+    raw = F.when(m == 0, "Shanghai (CNSHA)").when(m == 1, "SGSIN").when(m == 2, "Port Kembla (Berth 4), Australia (SGSIN)").otherwise(F.concat("n_name", F.lit(" (DEHAM)")))
     return _table(spark, sf, "nation").select("n_nationkey", t.normalize_port(raw).alias("norm"))
 
 
@@ -661,6 +661,50 @@ def a29_audit_sections(spark, sf):
     return parts.select("email_id", "number", "part", titled.alias("titled")).withColumn("total", F.lit(total.first()[0]).cast("long"))
 
 
+# --- two labels on a line, two defects, every rule of the checks, long cells
+
+_TWO_TEXT = """concat_ws(chr(10), 'DRAFT BILL OF LADING', concat('Shipper: ', shipper), concat('Consignee: ', consignee, ' |Notify Party: ', consignee), concat('POL: ', port_a, '  POD: Elsewhere'),
+  concat('Containers: ', cast(containers + 1 as string), ' containers'), concat('Gross Weight: ', cast(weight as string), ',000 KGS'))"""
+
+
+@query(bridge.oracle(f"""select email_id, 'MISMATCH' as status, 'port_of_discharge; container_count' as defect_fields, f.field, f.a as si_raw, f.b as bl_raw, f.c as si_norm, f.d as bl_norm, case when f.field in ('port_of_discharge', 'container_count') then 'MISMATCH' else 'MATCH' end as result
+  from facts, lateral (values ('shipper', shipper, shipper, {_NORM.format('shipper')}, {_NORM.format('shipper')}), ('consignee', consignee, consignee, {_NORM.format('consignee')}, {_NORM.format('consignee')}),
+  ('notify_party', 'Same as consignee', consignee, {_NORM.format('consignee')}, {_NORM.format('consignee')}), ('port_of_loading', port_a, port_a, {_NORM.format('port_a')}, {_NORM.format('port_a')}), ('port_of_discharge', port_b, 'Elsewhere', {_NORM.format('port_b')}, 'elsewhere'),
+  ('container_count', containers || ' x 40HC', (containers + 1) || ' containers', containers::varchar, (containers + 1)::varchar), ('gross_weight_kg', weight || '000 KG', weight || ',000 KGS', (weight * 1000)::varchar, (weight * 1000)::varchar)) f(field, a, b, c, d)
+  where tm in (0, 6, 7, 8, 9) and dm <> 9"""))
+def b11_detail_values(spark, sf):
+    emails, attachments = bridge.emails_and_attachments(spark, sf)
+    two = spark.table("facts").select("email_id", F.expr(_TWO_TEXT).alias("_two"))
+    a = attachments.join(two, "email_id").withColumns({"content": F.when(F.col("att_pos") == 1, F.col("_two")).otherwise(F.col("content")), "filename": F.when(F.col("att_pos") == 1, "two_BL.txt").otherwise(F.col("filename"))}).drop("_two")
+    v_ = decide.verify(emails, a).where("status = 'MISMATCH'")
+    return report.detail(v_).drop("field_ord", "audit_result").join(v_.select("email_id", "status", _joined("defect_fields").alias("defect_fields")), "email_id")
+
+
+#: What breaks each invariant, by o_orderkey % 10: category, status, has_defect, defect_fields, review_reason, and the violation; 0 breaks none.
+_BREAKS = [
+    ("BL_COMPARISON", "MISMATCH", True, ["shipper", "consignee"], None, None), ("LETTER", None, False, [], None, "unknown category"), ("GENERAL", None, None, [], None, "defect columns missing"),
+    ("BL_COMPARISON", "MISMATCH", True, ["colour"], None, "unknown defect field"), ("BL_COMPARISON", "MISMATCH", True, ["shipper", "shipper"], None, "repeated defect field"), ("SPAM", "OK", False, [], None, "comparison values on another category"),
+    ("BL_COMPARISON", "MAYBE", False, [], None, "unknown status"), ("BL_COMPARISON", "OK", False, [], "unreadable", "defects on OK"), ("BL_COMPARISON", "MISMATCH", True, [], None, "mismatch without defects"), ("BL_COMPARISON", "NEEDS_REVIEW", False, [], "tired", "review without reason"),
+]
+
+
+@query("select concat('e', cast(o_orderkey as varchar)) as email_id, case o_orderkey % 10 " + " ".join(f"when {i} then '{x[5]}'" for i, x in enumerate(_BREAKS) if x[5]) + " end as violation from orders where o_orderkey % 10 <> 0 union all select concat('e', cast(o_orderkey as varchar)), 'duplicate email_id' from orders where o_orderkey % 13 = 0")
+def i10_every_rule(spark, sf):
+    o, k = _table(spark, sf, "orders"), F.col("o_orderkey") % 10
+    kind = "struct<category:string,status:string,has_defect:boolean,defect_fields:array<string>,review_reason:string>"
+    broken = F.coalesce(*[F.when(k == i, F.struct(F.lit(x[0]), F.lit(x[1]), F.lit(x[2]), F.array(*map(F.lit, x[3])).cast("array<string>"), F.lit(x[4])).cast(kind)) for i, x in enumerate(_BREAKS)])
+    d = o.select(F.concat(F.lit("e"), F.col("o_orderkey").cast("string")).alias("email_id"), broken.alias("x"), "o_orderkey").select("email_id", "x.*", "o_orderkey")
+    once = report.violations(d.drop("o_orderkey"))
+    twice = report.violations(d.where("o_orderkey % 13 = 0").drop("o_orderkey").unionByName(d.where("o_orderkey % 13 = 0").drop("o_orderkey"))).where("violation = 'duplicate email_id'")
+    return once.unionByName(twice)
+
+
+@query("select c_custkey, case when length(x) > 29 then x[:28] || '…' else rpad(x, 29, ' ') end as cell from (select c_custkey, trim(regexp_replace(case when c_custkey % 2 = 0 then c_name else c_name || '  of ' || chr(10) || c_name || ' and ' || c_mktsegment end, '\\s+', ' ', 'g')) as x from customer)")
+def h18_long_cells(spark, sf):
+    raw = F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.concat("c_name", F.lit("  of \n"), "c_name", F.lit(" and "), "c_mktsegment"))
+    return _table(spark, sf, "customer").select("c_custkey", t.cell(raw, 29).alias("cell"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -24,17 +24,17 @@ def test_scalars(spark):
     assert one(spark, t.fold, "Straße &  MÜLLER", "a.b") == ["strasse m ller", "a b"]
     assert one(spark, t.normalize_text, "ACME, Ltd.\n12 Harbour Road", "Café & Co", "T.B.A", "TBA", " n / a", "", None, "½ x") == ["acme limited 12 harbour road", "cafe and company", "t b a", None, None, None, None, "1 2 x"]
     assert one(spark, t.normalize_party, "Same as Consignee", "same as exporter.") == ["__same_as_consignee__", "__same_as_shipper__"]
-    assert one(spark, t.normalize_port, "Singapore (SGSIN)", "SINGAPORE", "Port Klang (Westport), Malaysia (SGSIN)", "SGSIN", "cns ha", "Port Kelang") == ["singapore", "singapore", "port klang westport malaysia", "singapore", "shanghai", "port klang"]
-    assert one(spark, t.normalize_weight, "12,500 KG", "12.5 MT", "27,557.783 LB", "40.000 KG", "12.5MT", "3 tons", "-4 kg", "x", "12.500,25 kg", "12 500 KG", "____MT", "0.00 kg") == ["12500", "12500", "12500", "40000", "12.5", None, None, None, "12500.25", "12500", None, "0"]
-    assert one(spark, t.normalize_containers, "2 x 40'HC + 1 x 20'GP", "03 containers", "Three", "40HC x 3", "7", "TBD", "2 × containers") == ["3", "3", "3", None, "7", None, "2"]
+    assert one(spark, t.normalize_port, "Singapore (SGSIN)", "SINGAPORE", "Port Kembla (Berth 4), Australia (SGSIN)", "SGSIN", "cns ha", "Port Kelang") == ["singapore", "singapore", "port kembla berth 4 australia", "singapore", "shanghai", "port klang"]
+    assert one(spark, t.normalize_weight, "12,500 KG", "12.5 MT", "1,000.5 LB", "40.000 KG", "12.5MT", "3 tons", "-4 kg", "x", "12.500,25 kg", "12 500 KG", "____MT", "0.00 kg") == ["12500", "12500", "453.819", "40000", "12.5", None, None, None, "12500.25", "12500", None, "0"]
+    assert one(spark, t.normalize_containers, "5 x 20'GP + 4 x 40'HQ", "03 containers", "Three", "40HC x 3", "7", "TBD", "2 × containers") == ["9", "3", "3", None, "7", None, "2"]
     assert one(spark, t.suffix, "a.PDF", ".bashrc", "a.", "x/y.tar.gz") == [".pdf", "", "", ".gz"]
     assert one(spark, t.current_body, "hi\n> old\nx", "a\r\nFrom: b\r\nc", "On Monday X wrote:\nq") == ["hi", "a", ""]
 
 
 @pytest.mark.parametrize(("subject", "body", "files", "category"), [
-    ("Please compare SI and BL", "verify these two documents", 2, "BL_COMPARISON"), ("New SI request", "prepare a new SI", 0, "SI_REQUEST"), ("Invoice query", "clarify this payment", 0, "INVOICE_QUERY"),
-    ("Holiday notice", "office is closed", 0, "GENERAL"), ("You have won a lottery", "click here to claim", 0, "SPAM"), ("TO CONFIRM DOCS", "please advise", 0, "GENERAL"),
-    ("Draft BL", "please verify SI against BL", 0, "BL_COMPARISON"), ("Draft BL", "thanks\n> please compare SI and BL", 0, "GENERAL"), ("x", "90% off, act now", 0, "SPAM"), ("x", "guaranteed 300% returns on bitcoin", 0, "SPAM"),
+    ("Two drafts to compare: SI and BL", "both are below", 2, "BL_COMPARISON"), ("Load 12", "We ask for a new SI", 0, "SI_REQUEST"), ("March", "no remittance yet", 0, "INVOICE_QUERY"), ("Canteen", "soup at noon", 0, "GENERAL"),
+    ("A free gift", "for each winner", 0, "SPAM"), ("TO CONFIRM DOCS", "many greetings", 0, "GENERAL"), ("Draft BL", "could you check it with the SI", 0, "BL_COMPARISON"), ("Draft BL", "bye\n> could you check it with the SI", 0, "GENERAL"),
+    ("x", "95% off, act now", 0, "SPAM"), ("x", "guaranteed 250% returns on crypto", 0, "SPAM"),
 ])
 def test_classification(spark, subject, body, files, category):
     e = spark.createDataFrame([("e", subject, body, "a@b.c")], "email_id string, subject string, body string, sender string")
@@ -111,7 +111,7 @@ def folder(tmp_path_factory):
     root = tmp_path_factory.mktemp("bundle")
     (root / "inbox").mkdir()
     (root / "attachments").mkdir()
-    mail = {"subject": "Please compare SI and BL", "body": "Kindly verify.", "from": "a@b.c"}
+    mail = {"subject": "Two drafts to compare: SI and BL", "body": "Both are below.", "from": "a@b.c"}
     cases = {
         "e1": mail | {"attachments": ["attachments/si.txt", {"filename": "bl.txt", "content": BL}]}, "e2": mail | {"attachments": [{"path": "si.txt"}, {"name": "bl.docx", "path": "x/bl.docx"}]},
         "e3": mail | {"si_path": "attachments/si.txt"}, "e4": mail | {"attachments": ["si.txt", "lost_BL.pdf"]}, "e5": mail | {"attachments": ["si.txt", "bl.pdf"]}, "e6": {"subject": "Invoice query", "text": "payment"},
@@ -211,7 +211,7 @@ def test_http_and_audit(spark, folder, tmp_path):
 
         def do_GET(self):
             if self.path == "/inbox":
-                mails = [{"id": "h1", "subject": "Please compare SI and BL", "attachments": ["attachments/si.txt", {"filename": "bl.txt", "content": BL}]}, {"id": "h2", "subject": "Please compare SI and BL", "attachments": ["attachments/gone.txt"]}]
+                mails = [{"id": "h1", "subject": "Two drafts to compare: SI and BL", "attachments": ["attachments/si.txt", {"filename": "bl.txt", "content": BL}]}, {"id": "h2", "subject": "Two drafts to compare: SI and BL", "attachments": ["attachments/gone.txt"]}]
                 return self._reply(json.dumps({"emails": mails}).encode())
             file = folder / self.path.lstrip("/")
             return self._reply(file.read_bytes()) if file.exists() else self.send_error(404)
@@ -248,7 +248,7 @@ def test_inbox_shapes(spark, tmp_path):
     def decided(path):
         return {r["email_id"]: (r["status"], r["review_reason"]) for r in decide.decide(*bundle.read_bundle(spark, str(path))).collect()}
 
-    mail = {"subject": "Please compare SI and BL", "body": "Kindly verify."}
+    mail = {"subject": "Two drafts to compare: SI and BL", "body": "Both are below."}
     (tmp_path / "attachments").mkdir()
     (tmp_path / "attachments" / "si.txt").write_text(SI)
     (tmp_path / "attachments" / "far.txt").write_text(BL)
@@ -314,7 +314,7 @@ def test_ocr_seam(spark, tmp_path):
     assert decode.mean_confidence([(" ", 5.0), ("a", -1)]) == 0
     (tmp_path / "attachments").mkdir()
     (tmp_path / "attachments" / "bl.pdf").write_bytes(scan)
-    (tmp_path / "inbox.json").write_text(json.dumps([{"id": i, "subject": "Please compare SI and BL", "attachments": [{"filename": "si.txt", "text": SI}, "bl.pdf"]} for i in ("s1",)]))
+    (tmp_path / "inbox.json").write_text(json.dumps([{"id": i, "subject": "Two drafts to compare: SI and BL", "attachments": [{"filename": "si.txt", "text": SI}, "bl.pdf"]} for i in ("s1",)]))
     for text, want in ((BL, ("OK", None)), (BL.replace("Consignee", "Someone"), ("NEEDS_REVIEW", "unreadable"))):
         emails, files = bundle.read_bundle(spark, str(tmp_path), ocr=lambda data, text=text: [(text, [("w", 80.0)])])
         assert decide.decide(emails, files).select("status", "review_reason").first() == want
