@@ -19,6 +19,10 @@ WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 8
 SAMPLE, MOST, CHARS, STEPS, BATCH, RATE = 600, 2400, 8_000_000, 260, 64, 0.02
 
 
+#: Bytes that a window must have more of to be learnt from, where any has: the tails of longer texts and very short texts tell little.
+LEAST = 20
+
+
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All windows of all texts, (n, WINDOW) bytes with zeros behind each text's end, and the number of windows per text (one at least)."""
     per = np.array([max(1, -(-len(t) // WINDOW)) for t in texts], np.int64)
@@ -118,7 +122,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> ByteNet | None:
     """The network, learnt from text and non-null lang of rows whose hashed id isn't held out, a sample of each
-    language (whole texts; `sample` rows, fewer where all languages have over MOST or CHARS together); None if there are none."""
+    language (whole texts; `sample` rows, fewer where all languages have over MOST or CHARS together; windows of over LEAST bytes); None if there are none."""
     rows = docs.where((id_bucket(5) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     langs = max(rows.select("lang").distinct().count(), 1)
     few = bounded_sample(rows, "lang", max(1, min(sample, MOST // langs)), CHARS // langs)
@@ -129,7 +133,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> ByteNet | None:
     net = ByteNet(sorted(set(got["lang"])))
     x, per = windows([t.encode("utf-8", "surrogatepass") for t in got["text"]])
     y = np.repeat([net.classes.index(v) for v in got["lang"]], per)
-    full = (x != 0).sum(axis=1) > 20
+    full = (x != 0).sum(axis=1) > LEAST
     net.train(x[full] if full.any() else x, y[full] if full.any() else y)
     return net
 
