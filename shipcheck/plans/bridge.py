@@ -129,13 +129,9 @@ def office_file(kind: Column, name: Column) -> Column:
     return made(kind, name)
 
 
-def written_inbox(spark: SparkSession, sf_dir: str) -> str:
-    """The same emails as an inbox in the shared folder: payloads of many emails each in inbox/*.json, the text of every
-    attachment in a file of its own below attachments/."""
-    root = f"{shared_dir(spark)}/inbox-{uuid.uuid4().hex}"
-    emails, attachments = emails_and_attachments(spark, sf_dir)
-    named = attachments.select("email_id", "att_pos", "content", F.concat_ws("/", F.lpad(F.pmod(F.hash("email_id"), F.lit(64)).cast("string"), 2, "0"), "filename").alias("path"))
-    at, base = store(f"{root}/attachments")
+def write_files(named: DataFrame, folder: str) -> None:
+    """The content of each row as a file of its own, at its path below the folder."""
+    at, base = store(folder)
 
     def write(batches):
         for batch in batches:
@@ -146,7 +142,17 @@ def written_inbox(spark: SparkSession, sf_dir: str) -> str:
             yield batch.select(["path"])
 
     named.select("path", "content").mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+
+
+def written_inbox(spark: SparkSession, sf_dir: str, files: bool = True) -> tuple[str, DataFrame]:
+    """The same emails as an inbox in the shared folder, payloads of many emails each in inbox/*.json, and the files that they refer to
+    (att_pos, path, content), written below attachments/ unless that is left to the caller."""
+    root = f"{shared_dir(spark)}/inbox-{uuid.uuid4().hex}"
+    emails, attachments = emails_and_attachments(spark, sf_dir)
+    named = attachments.select("email_id", "att_pos", "content", F.concat_ws("/", F.lpad(F.pmod(F.hash("email_id"), F.lit(64)).cast("string"), 2, "0"), "filename").alias("path"))
+    if files:
+        write_files(named, f"{root}/attachments")
     refs = named.groupBy("email_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("att_pos", "path"))), lambda x: x["path"]).alias("attachments"))
     mails = emails.join(refs, "email_id", "left").select(F.pmod(F.hash("email_id"), F.lit(16)).alias("g"), F.struct("email_id", "subject", "body", F.col("sender").alias("from"), "attachments").alias("m"))
     mails.groupBy("g").agg(F.collect_list("m").alias("emails")).select("emails").write.option("maxRecordsPerFile", 1).json(f"{root}/inbox")
-    return root
+    return root, named

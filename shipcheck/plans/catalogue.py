@@ -13,6 +13,7 @@ from ..functions import text as t
 from ..operators import classify, decide, extract, identify, measure, report
 from ..sources import audit, bundle, decode, inbox_format, sink, snapshots
 from ..sources.shared import materialise, shared_dir
+from ..streaming import inbox as stream
 from . import bridge
 
 _QUERIES: dict[str, Callable] = {}
@@ -633,13 +634,13 @@ def b9_observed_stages(spark, sf):
 
 @query(bridge.oracle("select email_id, category, status, defect_fields, review_reason from expected", _E))
 def a3_inbox_format(spark, sf):
-    emails, attachments = inbox_format.read_source(spark, bridge.written_inbox(spark, sf))
+    emails, attachments = inbox_format.read_source(spark, bridge.written_inbox(spark, sf)[0])
     return decide.decide(emails, attachments).select("email_id", "category", "status", _joined("defect_fields").alias("defect_fields"), "review_reason")
 
 
 @query(bridge.oracle("select email_id, category, status, defect_fields, review_reason from expected", _E))
 def a11_folder_of_files(spark, sf):
-    emails, attachments = bundle.read_bundle(spark, bridge.written_inbox(spark, sf))
+    emails, attachments = bundle.read_bundle(spark, bridge.written_inbox(spark, sf)[0])
     return decide.decide(emails, attachments).select("email_id", "category", "status", _joined("defect_fields").alias("defect_fields"), "review_reason")
 
 
@@ -661,6 +662,16 @@ def a29_audit_sections(spark, sf):
     return parts.select("email_id", "number", "part", titled.alias("titled")).withColumn("total", F.lit(total.first()[0]).cast("long"))
 
 
+@query(bridge.oracle("""select email_id, category, status, defect_fields, review_reason, cast(case when tm in (0, 6, 7, 8, 9) and dm <> 9 then 2 else 1 end as int) as version from expected""", _E))
+def j_late_attachments(spark, sf):
+    """A stream over emails and shipping instructions, and from its checkpoint once more when the bills have come: the last decisions and how often each email was decided."""
+    root, files = bridge.written_inbox(spark, sf, files=False)
+    for pos in (0, 1):
+        bridge.write_files(files.where(F.col("att_pos") == pos), f"{root}/attachments")
+        stream.verify_stream(spark, root, f"{root}/checkpoint", lambda d, n: d.write.mode("append").parquet(f"{root}/decided")).awaitTermination()
+    return stream.latest(spark.read.parquet(f"{root}/decided")).select("email_id", "category", "status", _joined("defect_fields").alias("defect_fields"), "review_reason", "version")
+
+
 # --- two labels on a line, two defects, every rule of the checks, long cells
 
 _TWO_TEXT = """concat_ws(chr(10), 'DRAFT BILL OF LADING', concat('Shipper: ', shipper), concat('Consignee: ', consignee, ' |Notify Party: ', consignee), concat('POL: ', port_a, '  POD: Elsewhere'),
