@@ -89,15 +89,16 @@ def _unicode_forms(values: pa.Array) -> pa.Array:
     return pa.array([None if vs is None else [one(v) for v in vs.values()] for vs in values.to_pylist()], _ARROW_FORMS)
 
 
-def forms(values: list[Column], unicode: bool = True) -> Column:
+def forms(values: list[Column], unicode: bool | str = True) -> Column:
     """An array of both forms of each value.  Where all are ASCII they stay in the JVM: workers see nulls for them.
 
-    unicode=False is the form without Python, for values known to be ASCII."""
+    unicode=False is the form without Python, for values known to be ASCII; a text names the registered function that makes the others."""
     plain = F.array(*[F.when(v.isNotNull(), F.struct(v.alias("t"), F.lower(v).alias("f"))) for v in values])
     if not unicode:
         return plain
     other = F.concat_ws("", *values).rlike(r"[^\x00-\x7F]")
-    return F.when(~other, plain).otherwise(_unicode_forms(F.when(other, F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)]))))
+    made = (lambda c: F.call_function(unicode, c)) if isinstance(unicode, str) else _unicode_forms
+    return F.when(~other, plain).otherwise(made(F.when(other, F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)]))))
 
 
 def _with_form(c: Column, unicode: bool, rule: Callable[[Column, Column], Column]) -> Column:

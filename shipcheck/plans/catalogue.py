@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab as v
+from ..functions import sql
 from ..functions import text as t
 from ..operators import classify, decide, extract, identify, measure, report
 from ..sources import audit, bundle, decode, inbox_format, sink, snapshots
@@ -716,6 +717,16 @@ def h18_long_cells(spark, sf):
     return _table(spark, sf, "customer").select("c_custkey", t.cell(raw, 29).alias("cell"))
 
 
+@query(f"""select c_custkey, {_NORM.format('c_name')} || ' limited' as party, case when c_custkey % 2 = 0 then 'singapore' else {_NORM.format('c_mktsegment')} end as port, c_custkey::varchar as containers, (c_custkey * 1000)::varchar as weight,
+  (c_custkey + 0.5)::double as number, f.field, f.raw from customer, lateral (values ('shipper', c_name), ('port_of_loading', c_mktsegment), ('container_count', c_custkey::varchar)) f(field, raw)""")
+def k_sql_functions(spark, sf):
+    """In SQL text alone: scalar functions, and the table function of fields beside each row."""
+    sql.register(spark)
+    return spark.sql(f"""select c_custkey, shipcheck_party(concat(c_name, ', Ltd.')) as party, shipcheck_port(case when c_custkey % 2 = 0 then 'Singapore (SGSIN)' else c_mktsegment end) as port, shipcheck_containers(concat(c_custkey, ' x 40HC')) as containers,
+      shipcheck_weight(concat(c_custkey, ' MT')) as weight, cast(shipcheck_number(concat(c_custkey, ',5')) as double) as number, f.field, f.raw
+      from parquet.`{sf}/customer.parquet`, lateral shipcheck_fields(concat('Shipper: ', c_name, '\n', 'POL: ', c_mktsegment, '\n', 'No. of Containers: ', c_custkey)) f where f.raw is not null""")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
