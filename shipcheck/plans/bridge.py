@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from ..sources.fetch import store
-from ..sources.shared import shared_dir
+from ..sources.shared import materialise, shared_dir
 
 TABLES = ["orders", "customer", "nation", "supplier", "lineitem"]
 
@@ -80,11 +80,10 @@ def oracle(sql: str, *parts: str) -> str:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dealt out by email before any text is made of them: emails and attachments then lie together, so
-    that what joins or groups them by email needs no further exchange."""
+    """Joined and dealt out by email once, and written: emails and both kinds of attachments are then made from what lies there."""
     for t in TABLES:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(FACTS).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "email_id")
+    return materialise(spark.sql(FACTS).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "email_id"), "facts")
 
 
 def emails_and_attachments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
