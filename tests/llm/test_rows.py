@@ -89,6 +89,27 @@ def test_url_rules(spark):
     assert (got[10]["verdict"], got[11]["verdict"], got[8]["verdict"]) == ("block", "allow", "allow")
 
 
+def test_url_model_on_hosts_held_out():
+    held = lambda r: zlib.crc32(r[0].encode()) % 5 == 0
+    rows = urls.labelled_urls()
+    w, b = urls.fitted([r for r in rows if not held(r)])
+    scores = [(urls.score(h, p, w, b) >= 0.6, y) for h, p, y in filter(held, rows)]
+    assert sum(y for _, y in scores) >= 40 and sum(1 - y for _, y in scores) >= 150
+    assert sum(s for s, y in scores if y) >= 0.9 * sum(y for _, y in scores) and sum(s for s, y in scores if not y) <= 0.02 * sum(1 - y for _, y in scores)
+
+
+def test_url_gradient_by_plain_loops():
+    rows = [("abc.com", "/x", 1), ("abd.org", "/", 0), ("zzz.net", "/q", 0)]
+    w, b = urls.fitted(rows, steps=2, rate=1.0, ridge=0.1)
+    grams = [set(urls.features(h, p).tolist()) for h, p, _ in rows]
+    want, bias = dict.fromkeys(set().union(*grams), 0.0), 0.0
+    for _ in range(2):
+        errors = [(1 / (1 + math.exp(-(sum(want[g] for g in gs) / len(gs) ** 0.5 + bias))) - y) * (0.5 if y else 0.25) for gs, (_, _, y) in zip(grams, rows, strict=True)]
+        want = {g: v - sum(e / len(gs) ** 0.5 for e, gs in zip(errors, grams, strict=True) if g in gs) - 0.1 * v for g, v in want.items()}
+        bias -= sum(errors)
+    assert abs(b - bias) < 1e-5 and all(abs(w[g] - v) < 1e-5 for g, v in want.items()) and (w != 0).sum() <= len(want)
+
+
 def test_url_model_on_unseen_hosts():
     w, b = urls.model()
     assert min(urls.score(f"www.{h}.example.org", "/en/7", w, b) for h in ("adult-video", "casino-royal", "cheap-pills-now", "ads-tracker")) >= 0.6
