@@ -15,7 +15,8 @@ from .common import text_or_empty
 
 #: Bytes of one row of pixels: payloads are filled up with 255 to a multiple of it.
 UNIT = 3 * webp.WIDTH
-_ROWS = 1024
+#: Texts that are stored together, pixels that are read together (long images fill a step with many others).
+_ROWS, _PIXELS = 1024, 1 << 22
 
 
 def payload(text: str) -> bytes:
@@ -45,12 +46,18 @@ def pixels(media: list[bytes]) -> list[bytes]:
     return [b"".join(next(found) for _ in p) for p in parts]
 
 
-def feature(data: bytes) -> str:
-    """Mean, deviation and mean step to the next pixel of each channel, and the share of filled pixels."""
-    a = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.float32)
-    steps = np.abs(np.diff(a, axis=0)).mean(axis=0, dtype=np.float64) if len(a) > 1 else np.zeros(3)
-    full = float((a.min(axis=1) == 255).mean())
-    return " ".join(f"{v:.4f}" for v in (*a.mean(axis=0, dtype=np.float64), *a.std(axis=0, dtype=np.float64), *steps, full))
+def features(payloads: list[bytes]) -> list[str]:
+    """Of each: mean, deviation and mean step to the next pixel of each channel, and the share of filled pixels."""
+    a = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, 3).astype(np.int32)
+    n = np.array([len(p) // 3 for p in payloads])
+    starts = n.cumsum() - n
+    steps = np.abs(np.diff(a, axis=0, append=a[-1:]))
+    steps[starts + n - 1] = 0
+    total, square, step = (np.add.reduceat(v, starts, axis=0, dtype=np.int64) for v in (a, a * a, steps))
+    full = np.add.reduceat(a.min(axis=1) == 255, starts, dtype=np.int64) / n
+    n = n[:, None]
+    rows = np.concatenate([total / n, np.sqrt(n * square - total * total) / n, step / np.maximum(n - 1, 1), full[:, None]], axis=1)
+    return [" ".join(f"{v:.4f}" for v in row) for row in rows.tolist()]
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,10 +71,13 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, _ROWS):
-            part = batch.slice(at, _ROWS)
+        sizes, at = np.cumsum([webp.area(f.as_py()) for f in batch.column("media")]), 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _PIXELS, side="right")))
+            part = batch.slice(at, end - at)
+            at = end
             data = pixels(part.column("media").to_pylist())
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary()), pa.array(list(map(feature, data)), pa.string())], names=[*part.schema.names, "pixels", "feature"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary()), pa.array([f for i in range(0, len(data), 64) for f in features(data[i : i + 64])], pa.string())], names=[*part.schema.names, "pixels", "feature"])
 
 
 def to_media(docs: DataFrame) -> DataFrame:

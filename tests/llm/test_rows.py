@@ -55,6 +55,73 @@ def test_webp_batches_and_broken_files():
             webp.decode(bad)
 
 
+def stored_features(file):
+    """Transforms, whether there is a cache, and whether there are back-references, by the file's own header."""
+    b = webp.Bits(webp.chunk(file), 8 + 28 + 4)
+    if b.read(1):
+        return {("predictor", "cross", "green", "palette")[b.read(2)]}
+    cache = b.read(4) if b.read(1) else 0
+    b.read(1)
+    references = any(webp.read_lengths(b, 280 + (1 << cache if cache else 0))[256:280])
+    return {k for k, there in (("cache", cache), ("references", references)) if there}
+
+
+def test_every_form_competes_for_every_payload():
+    r = random.Random(5)
+    prose = " ".join(r.choice(["ship", "port", "of", "the", "container", "weight", "bill", "lading", "cargo"]) for _ in range(400))
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(3)) for _ in range(300)]
+    near = lambda c, by: "".join(chr(min(126, max(33, c + r.randint(0, by)))) for _ in range(2))
+    level, walk = [80, 80, 80], []
+    for _ in range(3000):
+        level = [min(122, max(40, v + r.randint(-1, 1))) for v in level]
+        walk.append("".join(map(chr, level)))
+    texts = {
+        "references": "a line that is said again, " * 40 + prose,
+        "cache": "".join(r.choice(words) for _ in range(6000)),
+        "green": "".join((lambda c, n: n[0] + chr(c) + n[1])(c, near(c, 3)) for c in (r.randint(40, 120) for _ in range(3000))),
+        "cross": "".join((lambda c, n: n[0] + chr(c) + n[1])(c, near(40 + c // 2, 1)) for c in (r.randint(34, 126) for _ in range(6000))),
+        "predictor": "".join(walk),
+        "palette": "".join(r.choice(["abc", "xyz"]) for _ in range(4000)),
+    }
+    payloads = [media.payload(t) for t in texts.values()]
+    files = webp.encode_smallest(payloads)
+    found = dict(zip(texts, map(stored_features, files), strict=True))
+    assert all(k in v for k, v in found.items()), found
+    assert webp.decode_batch(files) == payloads
+    assert all(len(f) <= len(p) for f, p in zip(files, webp.encode_batch(payloads), strict=True))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "bc", "def ", "\n", "é", "€", "\x00", "zzz" * 70, "line of words ", "0123456789" * 30]), max_size=60).map("".join), min_size=1, max_size=5))
+def test_smallest_files_round_trip(texts):
+    payloads = list(map(media.payload, texts))
+    files = webp.encode_smallest(payloads)
+    assert webp.decode_batch(files) == payloads
+    for p, f in zip(payloads, files, strict=True):
+        _, _, argb = webp.decode(f)
+        assert np.stack([argb >> 16, argb >> 8, argb], axis=1).astype(np.uint8).tobytes() == p
+
+
+def test_steps_and_single_images_read_alike(monkeypatch):
+    texts = [f"{'word ' * (i % 7)}{i} {'again and again ' * (i % 11)}{chr(33 + i) * 40 * i}" for i in range(60)]
+    files = webp.encode_smallest(list(map(media.payload, texts)))
+    for few in (0, 24, 1000):
+        monkeypatch.setattr(webp, "FEW", few)
+        assert webp.decode_batch(files) == list(map(media.payload, texts))
+        with pytest.raises(ValueError):
+            webp.decode_batch([*files[:30], webp.wrap(webp.chunk(files[59])[:-9])])
+
+
+def test_features_by_plain_loops():
+    payloads = [media.payload(t) for t in ("", "ship", "abc" * 500, "".join(map(chr, range(32, 400))))]
+    for p, got in zip(payloads, media.features(payloads), strict=True):
+        channels = [list(p[k::3]) for k in range(3)]
+        want = [sum(c) / len(c) for c in channels] + [float(np.std(c)) for c in channels]
+        want += [sum(abs(a - b) for a, b in zip(c, c[1:], strict=False)) / (len(c) - 1) for c in channels]
+        want.append(sum(t == (255, 255, 255) for t in zip(*channels, strict=True)) / len(channels[0]))
+        assert all(abs(float(a) - b) < 1e-4 for a, b in zip(got.split(), want, strict=True))
+
+
 def test_tall_payloads_use_several_images(monkeypatch):
     monkeypatch.setattr(webp, "TALL", 2)
     p = [media.payload("tall " * 600), media.payload("x")]
