@@ -331,6 +331,23 @@ def test_toxicity_learns_from_whole_texts(spark):
     assert np.mean([x["predicted"] == int(x["doc_id"] % 3 == 0) for x in held]) >= 0.97
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    ids = [r[0] for r in spark.range(9000).where("crc32(cast(cast(id as string) as binary)) % 3 <> 1").orderBy("id").selectExpr("id").collect()]
+    last = {r[0] for r in spark.range(9000).where("crc32(cast(cast(id as string) as binary)) % 3 <> 1 and id % 2 = 0").selectExpr("id", "xxhash64(id) as h").orderBy("h", ascending=False).limit(120).collect()}
+    r = random.Random(8)
+    text = lambda *more: " ".join(["the", "of", *(r.choice(["kalo", "mine", "ruta", "lomi"]) for _ in range(6)), *more])
+    rows = [(i, text("zgorfen") if i in last else text("idiot") if i % 2 == 0 else text()) for i in ids]
+    odd = [(20_000 + i, text("zgorfen") if i % 2 else text()) for i in range(100)]
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows + odd], DOCS)
+    l = spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    net = toxicity.fit(d, l)
+    assert net.rows == len(rows)
+    got = {x["doc_id"]: x["predicted"] for x in toxicity.score_toxicity(d.where("doc_id >= 20000"), l, net).collect()}
+    assert np.mean([got[i] == i % 2 for i, _ in odd]) >= 0.97
+    again = toxicity.fit(d.repartition(5), l.union(l))
+    assert np.allclose(again.embed, net.embed, atol=1e-5) and again.rows == net.rows
+
+
 # --- quality
 
 
