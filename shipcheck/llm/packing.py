@@ -4,6 +4,7 @@ curve fill sequences one after the other."""
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -133,11 +134,17 @@ def curve_keys(counts: np.ndarray, sums: np.ndarray) -> np.ndarray:
     return hilbert_index(cells, BITS)
 
 
+@functools.cache
+def _worker() -> tuple[Encoder, np.ndarray]:
+    """A worker's encoder and signs: tasks that follow one another in a process share them, and the words already known."""
+    return Encoder(_tokenizer()), _signs()
+
+
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("run", pa.int64()), ("ids", pa.binary()), ("key", pa.int64())])
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder, signs = Encoder(_tokenizer()), _signs()
+    encoder, signs = _worker()
     end = np.array([END], np.uint32).tobytes()
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -348,3 +349,12 @@ def test_shared_folder_is_needed_on_a_cluster(monkeypatch):
     session = O(conf=O(get=lambda k, d: d), sparkContext=O(master="spark://x:7077", _jsc=O(sc=lambda: O(getCheckpointDir=lambda: none))))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_dir(session)
+
+
+def test_tasks_of_a_worker_share_known_words():
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([0, 0]), pa.array(["the ship sails to zgorfen, now", " a  b "])], names=["doc_id", "run", "text"])
+    first = next(packing._encode(iter([batch])))
+    encoder = packing._worker()[0]
+    assert "zgorfen," in encoder._known and next(packing._encode(iter([batch]))).equals(first) and packing._worker()[0] is encoder
+    fresh = packing.Encoder(packing._tokenizer()).block(batch.column("text").to_pylist())
+    assert [np.frombuffer(a.as_py(), np.uint16)[:-1].tolist() for a in first.column("ids")] == [np.frombuffer(b, np.uint32).tolist() for b in fresh]
