@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,9 +22,9 @@ from .hilbert import hilbert_index
 LENGTH, END, DIMS, BITS = 2048, 1, 4, 12
 #: Consecutive documents of a given order that are packed along the curve together.
 RUN = 1024
-#: Most words whose ids a worker keeps, and the longest such word.
-_CACHE, _LONGEST = 200_000, 64
-_RARE, _LOOSE, _MARKS = re.compile(r"[^\S \n]"), re.compile(r"\s | \s|\s\Z"), frozenset(".,;:!?")
+#: Most words whose ids a worker keeps for later tasks, and the longest such word; bytes of text that are encoded at once (one text at least).
+_CACHE, _LONGEST, _BLOCK = 20_000, 64, 4_000_000
+_RARE, _LOOSE = re.compile(r"[^\S \n]"), re.compile(r"\s | \s|\s\Z")
 
 
 def loose(text: str) -> bool:
@@ -44,7 +45,7 @@ def _tokenizer():
 
 
 def _words_encoding():
-    """The same vocabulary as ranks, for runs of plain words: several times faster there."""
+    """The same vocabulary as ranks, for runs of plain words: several times faster there; and the ranks, which are the ids."""
     import base64
 
     import public_tokenizers
@@ -52,7 +53,7 @@ def _words_encoding():
 
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), ranks
 
 
 class Encoder:
@@ -60,62 +61,92 @@ class Encoder:
 
     Byte-level BPE splits a text into words first and never merges across them.  Where single
     spaces stand between words (no white space next to a space), a text falls apart at its
-    spaces, and the ids of each ` word` can be kept: most words of a corpus are seen again and
-    again.  A block's unknown words are encoded in one call, as one text.  A text with any other
-    white space, or that spells a special token, goes through the tokenizer as it is."""
+    spaces: a block's distinct ` word`s are encoded in one call, as one text, and their ids put
+    where the words stand.  Ids of the first words seen, which most blocks share, are kept.  A text
+    with any other white space, or that spells a special token, goes through the tokenizer as it is."""
 
     def __init__(self, tokenizer):
-        self._t, self._known, self._words = tokenizer, _Known(), _words_encoding()
+        self._t, self._known = tokenizer, {}
+        self._words, ranks = _words_encoding()
         self._special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]  # found by the tokenizer before words are split
         self._heads = np.zeros(1 << 16, bool)  # ids that begin with a space
-        self._heads[[i for word, i in tokenizer.get_vocab().items() if word[0] == "\u0120"]] = True
+        self._heads[[i for word, i in ranks.items() if word[:1] == b" "]] = True
 
     def _encoded(self, text: str) -> np.ndarray:
         return np.array(self._t.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of ` word` for each word (none holds a space): every word begins at an id that begins with a space."""
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ` word` for all words (none holds a space), and how many each has: every word begins at an id that begins with a space."""
         if not words:
-            return {}
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
         ids = np.array(self._words.encode_ordinary(" " + " ".join(words)), np.uint32)
-        cuts = [*(4 * np.flatnonzero(self._heads[ids])).tolist(), 4 * len(ids)]
-        if len(cuts) != len(words) + 1:
-            return {w: self._encoded(" " + w).tobytes() for w in words}
-        data = ids.tobytes()
-        return {w: data[a:b] for w, a, b in zip(words, cuts, cuts[1:], strict=False)}
+        cuts = np.flatnonzero(self._heads[ids])
+        if len(cuts) != len(words):
+            return _joined([self._encoded(" " + w) for w in words])
+        return ids, np.diff(cuts, append=len(ids))
+
+    def _units(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _learn, by way of the known words."""
+        kept = [self._known.get(w) for w in words]
+        new = [w for w, k in zip(words, kept, strict=True) if k is None]
+        ids, sizes = self._learn(new)
+        if len(self._known) < _CACHE:
+            ends, data = (4 * sizes.cumsum()).tolist(), ids.tobytes()
+            for w, at, to in zip(new[: _CACHE - len(self._known)], [0, *ends], ends, strict=False):
+                if len(w) <= _LONGEST:
+                    self._known[w] = data[at:to]
+        if len(new) == len(words):
+            return ids, sizes
+        old = np.array([k is not None for k in kept])
+        every = np.empty(len(words), np.int64)
+        every[~old], every[old] = sizes, [len(k) // 4 for k in kept if k is not None]
+        out, mine = np.empty(int(every.sum()), np.uint32), np.repeat(old, every)
+        out[~mine], out[mine] = ids, np.frombuffer(b"".join(k for k in kept if k is not None), np.uint32)
+        return out, every
+
+    def ids(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one behind the other, with the id `end` behind each text, and how many each text has."""
+        plain = np.array([bool(t) and t[0] != " " and not loose(t) and not any(s in t for s in self._special) for t in texts], bool)
+        split = pc.split_pattern(pa.array([t for t, p in zip(texts, plain, strict=True) if p], pa.string()), " ")
+        per = np.asarray(split.value_lengths()).astype(np.int64)
+        words, first = split.flatten(), np.zeros(int(per.sum()), bool)
+        first[per.cumsum() - per] = True
+        later = words.filter(pa.array(~first)).dictionary_encode()
+        heads = words.filter(pa.array(first)).dictionary_encode()  # no space before these
+        parts = [
+            self._units(later.dictionary.to_pylist()),
+            _joined([np.array(self._words.encode_ordinary(w), np.uint32) for w in heads.dictionary.to_pylist()]),
+            _joined([self._encoded(t) for t, p in zip(texts, plain, strict=True) if not p]),
+            _joined([] if end is None else [np.array([end], np.uint32)]),
+        ]
+        base = np.cumsum([0, *(len(n) for _, n in parts)])
+        data, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        # the units of each text: its words or the text itself, then the end
+        codes = np.empty(len(first), np.int64)
+        codes[~first], codes[first] = np.asarray(later.indices), np.asarray(heads.indices) + base[1]
+        units = np.ones(len(texts), np.int64)
+        units[plain] = per
+        of = np.empty(int(units.sum()), np.int64)
+        mine = np.repeat(plain, units)
+        of[mine], of[~mine] = codes, base[2] + np.arange(len(texts) - int(plain.sum()))
+        if end is not None:
+            of = np.insert(of, units.cumsum(), base[3])
+            units += 1
+        n = sizes[of]
+        at = (sizes.cumsum() - sizes)[of] - (n.cumsum() - n)
+        counts = np.add.reduceat(n, units.cumsum() - units) if len(texts) else np.empty(0, np.int64)
+        return data[np.repeat(at, n) + np.arange(int(n.sum()))], counts
 
     def block(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split: list[list[str] | None] = []
-        for text in texts:
-            words = text.split(" ")
-            split.append(words if words[0] and not loose(text) and not any(t in text for t in self._special) else None)
-        known, seen = self._known, set()
-        for words in split:
-            if words:
-                seen.update(words[1:])
-        new = seen.difference(known)
-        marked = [w for w in new if w[-1] in _MARKS and w[:-1].isalpha()]
-        cores = [w[:-1] for w in marked]
-        plain = new.difference(marked).union(cores).difference(known)
-        more = self._learn(list(plain))
-        tails = {m: self._encoded(m).tobytes() for m in _MARKS}
-        more.update({w: (more[c] if c in more else known[c]) + tails[w[-1]] for w, c in zip(marked, cores, strict=True)})
-        if len(known) < _CACHE:
-            known.update({w: ids for w, ids in more.items() if len(w) <= _LONGEST})
-        known.more = more
-        firsts = {w: np.array(self._words.encode_ordinary(w), np.uint32).tobytes() for w in {words[0] for words in split if words}}
-        get = known.__getitem__
-        return [self._encoded(text).tobytes() if words is None else firsts[words[0]] + b"".join(map(get, words[1:])) for text, words in zip(texts, split, strict=True)]
-
-
-class _Known(dict):
-    """Ids of words kept for good; of a block's other words in `more`."""
-
-    more: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        return self.more[word]
+        ids, counts = self.ids(texts)
+        ends, data = (4 * counts.cumsum()).tolist(), ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _joined(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All rows one behind the other, and the length of each."""
+    return np.concatenate([np.empty(0, np.uint32), *rows]), np.array([len(r) for r in rows], np.int64)
 
 
 def _signs(vocabulary: int = 1 << 16, dims: int = DIMS) -> np.ndarray:
@@ -143,19 +174,26 @@ def _worker() -> tuple[Encoder, np.ndarray]:
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("run", pa.int64()), ("ids", pa.binary()), ("key", pa.int64())])
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with _BLOCK bytes of text, or one row."""
+    ends = np.asarray(pc.binary_length(batch.column("text"))).astype(np.int64).cumsum()
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, _BLOCK + (ends[at - 1] if at else 0), "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encoder, signs = _worker()
-    end = np.array([END], np.uint32).tobytes()
     for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            rows = [ids + end for ids in encoder.block(part.column("text").to_pylist())]
-            counts = np.array([len(r) // 4 for r in rows], np.int64)
-            every = np.frombuffer(b"".join(rows), np.uint32)
-            starts = np.concatenate([[0], counts.cumsum()[:-1]])
-            sums = np.stack([np.add.reduceat(column[every], starts) for column in signs], axis=1)  # small whole numbers: exact
-            small = [np.frombuffer(r, np.uint32).astype(np.uint16).tobytes() for r in rows]  # the vocabulary has under 2 ** 16 ids
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("run"), pa.array(small, pa.binary()), pa.array(curve_keys(counts, sums))], schema=_TOKENS)
+        for part in _blocks(batch):
+            every, counts = encoder.ids(part.column("text").to_pylist(), END)
+            ends = counts.cumsum()
+            sums = np.stack([np.add.reduceat(column[every], ends - counts) for column in signs], axis=1)  # small whole numbers: exact
+            offsets = np.concatenate([[0], 2 * ends]).astype(np.int32)
+            small = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(every.astype(np.uint16))])  # the vocabulary has under 2 ** 16 ids
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("run"), small, pa.array(curve_keys(counts, sums))], schema=_TOKENS)
 
 
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, curve_key long"

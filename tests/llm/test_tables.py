@@ -358,3 +358,19 @@ def test_tasks_of_a_worker_share_known_words():
     assert "zgorfen," in encoder._known and next(packing._encode(iter([batch]))).equals(first) and packing._worker()[0] is encoder
     fresh = packing.Encoder(packing._tokenizer()).block(batch.column("text").to_pylist())
     assert [np.frombuffer(a.as_py(), np.uint16)[:-1].tolist() for a in first.column("ids")] == [np.frombuffer(b, np.uint32).tolist() for b in fresh]
+
+
+def test_known_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "_CACHE", 100)
+    monkeypatch.setattr(packing, "_BLOCK", 700, raising=False)
+    tokenizer = packing._tokenizer()
+    encoder = packing.Encoder(tokenizer)
+    texts = [" ".join(f"w{i}é{k}," for i in range(50)) for k in range(40)] + ["", "\nx y z", "a  b", "one", "　x y éa", "<|endoftext|> y"] + ["w1é1, w2é1, new."] * 2
+    want = [t.ids for t in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        assert [np.frombuffer(b, np.uint32).tolist() for b in encoder.block(texts)] == want
+    assert len(encoder._known) == 100
+    monkeypatch.setattr(packing, "_worker", lambda: (encoder, packing._signs()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts)], names=["doc_id", "run", "text"])
+    out = list(packing._encode(iter([batch, batch.slice(0, 0)])))
+    assert [np.frombuffer(x.as_py(), np.uint16).tolist() for b in out for x in b.column("ids")] == [[*w, packing.END] for w in want] and len(out) > 30
