@@ -374,3 +374,10 @@ def test_known_words_are_bounded(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts)], names=["doc_id", "run", "text"])
     out = list(packing._encode(iter([batch, batch.slice(0, 0)])))
     assert [np.frombuffer(x.as_py(), np.uint16).tolist() for b in out for x in b.column("ids")] == [[*w, packing.END] for w in want] and len(out) > 30
+
+
+def test_long_texts_are_encoded_in_blocks_of_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "_BLOCK", 20_000, raising=False)
+    texts = ["long text " * n for n in (900, 900, 900, 5000, 1, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([0] * 6), pa.array(texts)], names=["doc_id", "run", "text"])
+    assert [b.column("doc_id").to_pylist() for b in packing._encode(iter([batch]))] == [[0, 1], [2], [3], [4, 5]]
