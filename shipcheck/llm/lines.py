@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType
@@ -149,9 +150,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     Index arrays of up to held_bytes are held by every task, and texts are read twice and never move; larger
     ones stay dealt out, and the lines' hashes go to their shard."""
-    shared = materialise(shared_lines(docs, min_chars, min_docs), "sharedlines")
-    shards = max(1, -(-shared.count() // SHARD_KEYS))
-    index = materialise(build_index(shared, shards), "lineindex")
+    shared = shared_lines(docs, min_chars, min_docs).persist(StorageLevel.DISK_ONLY)  # few rows in many tasks: no part file for each
+    try:
+        shards = max(1, -(-shared.count() // SHARD_KEYS))
+        index = materialise(build_index(shared, shards), "lineindex")
+    finally:
+        shared.unpersist()
     size = index.agg(F.sum(F.expr(" + ".join(f"octet_length({c})" for c in ("sizes", "words", "ranks", "prints", "counts", "last"))))).first()[0] or 0
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
     lost, one, two, at = (unused(docs, c) for c in ("_lost", "_id", "_text", "_at"))

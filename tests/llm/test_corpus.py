@@ -209,3 +209,14 @@ def test_audit_equals_brute_force(spark, small, monkeypatch):
 def test_shares_are_exact(count, more, v):
     total = count + more
     assert divergence.shares(np.array([count]), np.array([total]), np.array([v]))[0] == 1 + 10**9 * (count + 5) // (total + 5 * v)
+
+
+def test_shared_lines_are_no_part_files(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(lines, "materialise", lambda df, name, f=lines.materialise: (written.append(name), f(df, name))[1])
+    line = "a line that is long enough to be shared by all"
+    rows = [(i, f"own {i}\n{line}", "en", "s", 1, 0) for i in range(7)]
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: f"own {i}" + (f"\n{line}" if i == 6 else "") for i in range(7)}
+    assert written == ["lineindex"] and spark.sparkContext._jsc.getPersistentRDDs().size() == held
