@@ -166,17 +166,26 @@ def may_hold(bits: np.ndarray, h: int) -> bool:
     return bool(bits[(h & (BITS - 1)) >> 3] >> (h & 7) & 1)
 
 
-def distinct_texts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """text_hash, text of each distinct non-null text.  Only texts that may have copies are shuffled, one per task."""
-    bits = bit_filter(found.groupBy("text_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "text_hash")
+def copied(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the hashes may be of a text with copies."""
+    low = h & (BITS - 1)
+    return (bits[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def over_texts(docs: DataFrame, bits: np.ndarray, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What `work` makes of text_hash and text of each distinct non-null text; bits: filter of the hashes that several rows have.
+    Only texts that may have copies are shuffled, one per task.  The others are picked out by the worker that does the work: a
+    task with a filter in Python below it would hold two workers."""
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return work(b.filter(pa.array(~copied(bits, b.column("text_hash").to_numpy()))) for b in batches)
 
     @F.pandas_udf("boolean")
-    def copied(h: pd.Series) -> pd.Series:
-        low = h.to_numpy() & (BITS - 1)
-        return pd.Series((bits[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool))
+    def may(h: pd.Series) -> pd.Series:
+        return pd.Series(copied(bits, h.to_numpy()))
 
     texts = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("text_hash"), "text")
-    return texts.where(~copied("text_hash")).unionByName(texts.where(copied("text_hash")).dropDuplicates(["text_hash"]))
+    return texts.mapInArrow(alone, schema).unionByName(texts.where(may("text_hash")).dropDuplicates(["text_hash"]).mapInArrow(work, schema))
 
 
 def _count(bits: np.ndarray):
@@ -207,7 +216,7 @@ def _count(bits: np.ndarray):
     return count
 
 
-def disclosing(texts: DataFrame, found: DataFrame, alpha: float = ALPHA) -> DataFrame | None:
+def disclosing(docs: DataFrame, found: DataFrame, copies: np.ndarray, alpha: float = ALPHA) -> DataFrame | None:
     """t: hashes of the terms over the disclosure threshold (None if there is none), counted over distinct texts.
 
     Entities of one text alone can't pass, as it is no evidence for itself; their pairs aren't counted."""
@@ -217,7 +226,7 @@ def disclosing(texts: DataFrame, found: DataFrame, alpha: float = ALPHA) -> Data
     if not bits.any():
         return None
     total = found.select("text_hash").distinct().count()
-    sums = texts.select("text").mapInArrow(_count(bits), "e long, t long, n long").groupBy("e", "t").agg(F.sum("n").alias("n"))
+    sums = over_texts(docs, copies, _count(bits), "e long, t long, n long").groupBy("e", "t").agg(F.sum("n").alias("n"))
     sums = materialise(sums.where("e is null or n > 1"), "piicount")
     p = F.col("n_entity") / F.lit(float(total))
     least = F.pow(p, F.lit(1.0 - alpha))
@@ -253,13 +262,13 @@ def detect(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     filter of fixed size) are joined to the terms by hash.  Null and empty texts have no spans;
     copies have the same spans; repeated and null ids are no matter.  Texts are read whole."""
     found = find(docs)
-    texts = distinct_texts(docs, found)
-    terms = disclosing(texts, found, alpha)
+    copies = bit_filter(found.groupBy("text_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "text_hash")
+    terms = disclosing(docs, found, copies, alpha)
     names = ["doc_id", "text_hash", *[f"n_{k}" for k in KINDS[:4]], "spans"]
     none = F.expr("cast(array() as array<struct<k:int,s:int,e:int>>)")
     if terms is None:
         return found.select(*names, none.alias("terms"))
-    seen = texts.mapInArrow(_look(bit_filter(terms, "t")), "_hash long, t long, s int, e int")
+    seen = over_texts(docs, copies, _look(bit_filter(terms, "t")), "_hash long, t long, s int, e int")
     hits = seen.join(terms, "t").groupBy("_hash").agg(F.sort_array(F.collect_list(F.struct(F.lit(4).alias("k"), "s", "e"))).alias("terms"))
     return found.join(hits, F.col("text_hash") == F.col("_hash"), "left").select(*names, F.coalesce("terms", none).alias("terms"))
 

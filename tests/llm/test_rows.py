@@ -255,6 +255,22 @@ def test_copies_change_no_verdict(spark):
     assert all("xavier" in once[i] and once[i] == copied[i] for i in range(300, 305)) and copied[305] == copied[1304] == once[300]
 
 
+def test_a_task_holds_one_worker(spark, monkeypatch):
+    plans, write = [], pii.materialise
+    monkeypatch.setattr(pii, "materialise", lambda df, name: plans.append(df) or write(df, name))
+    named = [f"xavier {a} wrote to x@mail.com" for a in ("one", "two", "three", "four", "five")]
+    d = docs(spark, [*(f"plain words number{i}" for i in range(300)), *named, *named[:1] * 3])
+    plans.append(pii.detect(d))
+    assert len(plans) == 5
+    for df in plans:
+        above = []  # nodes from the root to a line of the plan
+        for line in df._jdf.queryExecution().executedPlan().treeString().splitlines():
+            at = re.search("[A-Z]", line).start()
+            above = [x for x in above if x[0] < at] + [(at, line[at:])]
+            stage = re.split(r"\bExchange\b", " ".join(re.match(r"\w+", x)[0] for _, x in above))[-1]
+            assert len(re.findall("MapInArrow|ArrowEvalPython", stage)) < 2, (stage, line)
+
+
 def test_overlapping_spans_are_masked_whole():
     assert pii.masked("at 192.168.0.1@host.com now", []) == "at <EMAIL> now" and pii.masked("+1 555 0100.ann@x.com", []) == "<PHONE>"
     assert "@" not in pii.masked("x 10.0.0.1@h.org, +1 555 0100 22.b@y.org", []) and pii.masked("a b", [(0, 1)]) == "<TERM> b"
