@@ -1,10 +1,11 @@
 """Source divergence audit: how far the vocabularies of a language's sources lie apart.
 
 A sort-based stream.  Where a document lies, its terms are counted; a task's documents leave as runs
-(lang, term, source: documents, count).  Runs are dealt out by (lang, term) and sorted by (lang, term, source, part),
-and one scan over run lengths gives each term's document frequency and its counts by source.  A second scan over the
+(lang, term, source: documents, count).  Runs are dealt out and sorted by one number, the hash of (lang, term), and one
+scan over run lengths gives each term's document frequency and its counts by source: hashes found in too few documents
+hold no kept term, and only the runs of the others are told apart by their strings.  A second scan over the
 kept terms turns each run into probabilities and adds up partial pairs of sources and partial best terms.  A scan
-holds one run, never a group."""
+holds one batch and the sums of one hash, never a group."""
 
 from __future__ import annotations
 
@@ -23,8 +24,8 @@ from .common import materialise, shuffle_partitions
 MIN_DOCS, SMOOTH, WHOLE, TOP = 30, 5, 1_000_000_000, 50
 #: Terms that a task counts before it sends them on, numbers that a scan holds for pairs, for terms, and for a step.
 HELD, PAIRS, BEST, STEP = 300_000, 4_000_000, 200_000, 1_000_000
-_RUN = "lang string, term string, source string, part long, docs long, n long"
-_RUNS = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("part", pa.int64()), ("docs", pa.int64()), ("n", pa.int64())])
+_RUN = "lang string, term string, source string, docs long, n long"
+_RUNS = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("docs", pa.int64()), ("n", pa.int64())])
 #: ASCII letters in lower case and all bytes from 128 on are parts of terms; all else parts them.
 _TERMS = bytes(b if b >= 128 or 97 <= b < 123 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
 
@@ -38,13 +39,13 @@ def groups_of(docs: DataFrame) -> DataFrame:
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents to runs: for each (lang, source) of this part of the task each term's documents and count."""
     held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-    size, part = 0, 0
+    size = 0
 
     def sent() -> Iterator[pa.RecordBatch]:
         for (lang, source), (df, n) in held.items():
             k = len(n)
             terms = pa.array(list(n), pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.repeat(lang, k), terms, pa.repeat(source, k), pa.repeat(part, k), pa.array(map(df.__getitem__, n), pa.int64()), pa.array(n.values(), pa.int64())], schema=_RUNS)
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, k), terms, pa.repeat(source, k), pa.array(map(df.__getitem__, n), pa.int64()), pa.array(n.values(), pa.int64())], schema=_RUNS)
 
     for batch in batches:
         for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text"), strict=True):
@@ -57,7 +58,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size > HELD:
                 yield from sent()
                 held.clear()
-                size, part = 0, part + 1
+                size = 0
     yield from sent()
 
 
@@ -75,16 +76,21 @@ def _starts(t: pa.Table, columns: list[str]) -> np.ndarray:
 
 
 def _summed(t: pa.Table) -> pa.Table:
-    """Sorted runs with those of the same (lang, term, source) added up."""
-    at = _starts(t, ["lang", "term", "source"])
-    add = lambda c: pa.array(np.add.reduceat(np.asarray(t.column(c)), at))
-    return pa.table([*(t.column(c).take(pa.array(at)) for c in ("lang", "term", "source")), add("docs"), add("n")], names=["lang", "term", "source", "docs", "n"])
+    """Runs with those of the same (h, lang, term, source) added up, in any order."""
+    out = t.group_by(["h", "lang", "term", "source"], use_threads=False).aggregate([("docs", "sum"), ("n", "sum")])
+    return out.rename_columns({"docs_sum": "docs", "n_sum": "n"}).select(t.column_names)
 
 
 def _scan(min_docs: int):
-    """Sorted runs to kept terms: lang, term, df, sources, counts.  Between batches only the last term's sums are held."""
-
-    def kept(t: pa.Table) -> pa.RecordBatch:
+    """Runs sorted by their hash h to kept terms: lang, term, df, sources, counts.  Between batches only the last hash's sums are held."""
+
+    def kept(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        at = _starts(t, ["h"])
+        often = np.add.reduceat(np.asarray(t.column("docs")), at) >= min_docs  # no term of a hash is in more documents
+        if not often.any():
+            return
+        t = t.filter(pa.array(np.repeat(often, np.diff(at, append=t.num_rows))))
+        t = _summed(t).sort_by([("lang", "ascending"), ("term", "ascending"), ("source", "ascending")]).combine_chunks()
         at = _starts(t, ["lang", "term"])
         df = np.add.reduceat(np.asarray(t.column("docs")), at)
         ends, keep = np.append(at[1:], t.num_rows), df >= min_docs
@@ -93,21 +99,21 @@ def _scan(min_docs: int):
         first = pa.array(at[keep])
         lists = [pa.ListArray.from_arrays(offsets, t.column(c).take(pa.array(rows)).combine_chunks()) for c in ("source", "n")]
         heads = [t.column(c).take(first).combine_chunks() for c in ("lang", "term")]
-        return pa.RecordBatch.from_arrays([*heads, pa.array(df[keep]), *lists], names=["lang", "term", "df", "sources", "counts"])
+        yield pa.RecordBatch.from_arrays([*heads, pa.array(df[keep]), *lists], names=["lang", "term", "df", "sources", "counts"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = _summed(pa.table(batch.drop_columns(["part"])))
-            t = t if tail is None else _summed(pa.concat_tables([tail, t]))
-            last = int(_starts(t, ["lang", "term"])[-1])
+            t = pa.table(batch)
+            t = (t if tail is None else pa.concat_tables([tail, t])).combine_chunks()
+            last = int(_starts(t, ["h"])[-1])
             if last:
-                yield kept(t.slice(0, last).combine_chunks())
-            tail = t.slice(last).combine_chunks()
+                yield from kept(t.slice(0, last))
+            tail = _summed(t.slice(last))
         if tail is not None:
-            yield kept(tail)
+            yield from kept(tail)
 
     return scan
 
@@ -117,8 +123,7 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     source.  Every row of docs is a document."""
     slim = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")], F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     runs = slim.mapInArrow(_runs, _RUN)
-    order = ["lang", "term", "source", "part"]
-    dealt = runs.repartition(shuffle_partitions(docs.sparkSession), "lang", "term").sortWithinPartitions(*order)
+    dealt = runs.withColumn("h", F.xxhash64("lang", "term")).repartition(shuffle_partitions(docs.sparkSession), "h").sortWithinPartitions("h")  # one number: a radix sort
     return materialise(dealt.mapInArrow(_scan(min_docs), "lang string, term string, df long, sources array<string>, counts array<long>"), "auditterms")
 
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -205,6 +206,29 @@ def test_audit_equals_brute_force(spark, small, monkeypatch):
     assert divergence.audit(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_terms_that_share_a_hash_are_told_apart(size):
+    r = random.Random(3)
+    rows = [(h, lang, f"t{h}{k}", source, 1, r.randint(1, 3)) for h in range(12) for lang in ("", "en") for k in range(h % 3 + 1) for source in "abc" for _ in range(r.randint(0, 5))]
+    rows.sort(key=lambda x: (x[0], r.random()))  # the order within a hash is any
+    table = pa.Table.from_pylist([dict(zip(("h", "lang", "term", "source", "docs", "n"), x, strict=True)) for x in rows])
+    got = [x for b in divergence._scan(8)(iter(table.to_batches(size))) for x in b.to_pylist()]
+    df, n = Counter(x[1:3] for x in rows), Counter()
+    for _, *key, _, count in rows:
+        n[tuple(key)] += count
+    want = {(lang, t): {s: n[lang, t, s] for s in "abc" if n[lang, t, s]} for (lang, t), d in df.items() if d >= 8}
+    assert {(x["lang"], x["term"]): dict(zip(x["sources"], x["counts"], strict=True)) for x in got} == want and len(got) == len(want) > 5
+    assert all(x["df"] == df[x["lang"], x["term"]] for x in got) and 0 < sum(d < 8 for d in df.values())
+
+
+def test_runs_are_sorted_by_one_number(spark, monkeypatch):
+    plans, write = [], divergence.materialise
+    monkeypatch.setattr(divergence, "materialise", lambda df, name: plans.append(df) or write(df, name))
+    divergence.kept_terms(spark.createDataFrame([(1, "a b", "en", "s", "x", "y")] * 40, DOCS))
+    (sort,) = [x for x in plans[0]._jdf.queryExecution().executedPlan().treeString().splitlines() if "Sort [" in x]
+    assert sort.count("ASC") == 1 and re.search(r"Sort \[h#\d+L ASC", sort)  # a long
+
+
 @given(st.integers(0, 10**15), st.integers(0, 10**15), st.integers(1, 10**9))
 def test_shares_are_exact(count, more, v):
     total = count + more
