@@ -58,10 +58,10 @@ def _lists(head: list[str], rows: Column) -> Column:
     return F.concat(F.lit(_table(head, [])[: -len("</table>")]), F.array_join(F.transform(rows, _cells), ""), F.lit("</table>"))
 
 
-def rendered_sections(verified: DataFrame) -> DataFrame:
-    """email_id, html: each email's section, made where its row lies; its line ends are those of its explanation."""
+def rendered_sections(verified: DataFrame, *keep: str) -> DataFrame:
+    """email_id, `keep`, html: each email's section, made where its row lies; its line ends are those of its explanation."""
     none = F.array(F.array(*[F.lit(x) for x in ("No attachments", "-", "-", "-", "-")]))
-    return sections(verified).select("email_id", F.concat(
+    return sections(verified, *keep).select("email_id", *keep, F.concat(
         F.lit("<h2>Email audit: "), escaped(F.col("email_id")), F.lit("</h2>"), _pairs(("Email ID", "email_id"), ("Subject", "subject"), ("Category", "category"), ("Evidence", "evidence")),
         _lists(["Attachment", "Detected type", "Evidence", "Source format", "Extraction"], F.when(F.size("files") > 0, F.col("files")).otherwise(none)),
         F.when(F.size("fields") > 0, _lists(["Field", "SI raw", "BL raw", "SI normalized", "BL normalized", "Result"], F.col("fields"))).otherwise(""),
@@ -71,25 +71,31 @@ def rendered_sections(verified: DataFrame) -> DataFrame:
 
 def audit_parts(verified: DataFrame, part: int = PART) -> DataFrame:
     """email_id, number, part, offset, length, html: sections in id order, numbered from 1 over all emails, in parts of `part` sections each;
-    offset and length are bytes in the part's file, where each section is a line of its own (or several)."""
-    d = numbered(rendered_sections(verified), "email_id", "auditsections", "_place")
+    offset and length are bytes in the part's file, where each section is a line of its own (or several).
+
+    Emails are decided once and written: the range exchange, which samples them first, reads what lies there, and sections are
+    rendered behind it, so no text of theirs moves for their numbers."""
+    rows = materialise(verified.select(*_EVIDENCE), "auditrows")
+    d = rendered_sections(numbered(rows, "email_id", "auditsections", "_place"), "_place")
     d = d.select("email_id", (F.col("_place") + 1).alias("number"), F.expr(f"_place div {part}").alias("part"), F.octet_length("html").cast("long").alias("length"), "html")
     before = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    places = d.select(F.col("number").alias("_n"), F.coalesce(F.sum(F.col("length") + 1).over(before), F.lit(0)).alias("offset"), "part")
-    return d.join(places.drop("part"), d["number"] == places["_n"]).select("email_id", "number", "part", "offset", "length", "html")
+    return d.withColumn("offset", F.coalesce(F.sum(F.col("length") + 1).over(before), F.lit(0))).select("email_id", "number", "part", "offset", "length", "html")
+
+
+#: What a section is made of.
+_EVIDENCE = ["email_id", "subject", "category", "status", "defect_fields", "review_reason", "classification_reasons", "attachments", "comparisons"]
 
 
-def sections(verified: DataFrame) -> DataFrame:
-    """email_id, subject, category, evidence, files, fields, status, defects, reason, explanation: what an email's section shows, nulls as dashes."""
+def sections(verified: DataFrame, *keep: str) -> DataFrame:
+    """email_id, `keep`, subject, category, evidence, files, fields, status, defects, reason, explanation: what an email's section shows, nulls as dashes."""
     value = lambda c: display(c, none="-")
     files = F.transform("attachments", lambda a: F.array(
         value(a["filename"]), F.when(report._examined(), value(a["document_type"])).otherwise("Not evaluated"), F.when(report._examined(), joined(a["reasons"])).otherwise("Not evaluated (not a BL comparison)"), a["source_format"], a["extraction"]))
     fields = F.when(report._examined(), F.transform(report._field_spine(), lambda f: F.array(f["field"], *[value(f[c]) for c in ("si_raw", "bl_raw", "si_norm", "bl_norm")], f["audit_result"])))
-    d = verified.select(
-        "email_id", value(F.col("subject")).alias("subject"), "category", joined(F.col("classification_reasons")).alias("evidence"), files.alias("files"), fields.alias("fields"),
-        value(F.col("status")).alias("status"), joined(F.col("defect_fields")).alias("defects"), value(F.col("review_reason")).alias("reason"),
+    return verified.select(
+        "email_id", *keep, value(F.col("subject")).alias("subject"), "category", joined(F.col("classification_reasons")).alias("evidence"), files.alias("files"), fields.alias("fields"),
+        value(F.col("status")).alias("status"), joined(F.col("defect_fields")).alias("defects"), value(F.col("review_reason")).alias("reason"), report.explanation().alias("explanation"),
     )
-    return d.join(report.explain(verified), "email_id")
 
 
 def summary_page(known: DataFrame, shown: int, problems_only: bool, seconds: float) -> str:
